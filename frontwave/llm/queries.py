@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import secret_scan
+from . import secret_scan, warc
 from .common import table
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, sf_dir)
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op2_warc": op2_warc,
     "op10_secret_scan": op10_secret_scan,
 }
 
