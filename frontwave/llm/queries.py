@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import secret_scan, warc
+from . import html_extract, secret_scan, warc
 from .common import table
 
 
@@ -12,12 +12,17 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, sf_dir)
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op2_warc": op2_warc,
+    "op3_html_extract": op3_html_extract,
     "op10_secret_scan": op10_secret_scan,
 }
 
