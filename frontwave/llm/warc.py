@@ -368,7 +368,7 @@ def read_warc(spark: SparkSession, path: str, **options: str) -> DataFrame:
 
 def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive all pages in the shared folder, read the archives back, and report each record."""
-    path = write_warc(page_records(table(spark, sf_dir, "pages")), scratch(spark, "warc"))
+    path = write_warc(page_records(table(spark, sf_dir, "pages")), scratch(spark, "warc"), compression="gzip")
     got = read_warc(spark, path, payload="digest")
     number = lambda n: F.col("headers").getItem(n).cast("long")
     return got.select(number("WARC-X-Page-ID").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("WARC-X-Refers-To-Page").alias("refers_to"), "target_uri")
