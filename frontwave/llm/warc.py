@@ -115,7 +115,7 @@ class WarcWriter(DataSourceArrowWriter):
                         out.close()
                         done.append((name, size))
                     name, size = f"part-{uuid.uuid4().hex}.warc" + ".gz" * self.gz, 0
-                    out = store.open_output_stream(f"{root}/{name}")
+                    out = store.open_output_stream(f"{root}/{name}", compression=None)
                 out.write(data)
                 size += len(data)
         if out is not None:
