@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, packing, secret_scan, warc
+from . import html_extract, packing, quality, secret_scan, warc
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_html_extract": op3_html_extract,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op7_quality_classifier": op7_quality_classifier,
     "op10_secret_scan": op10_secret_scan,
 }
 
