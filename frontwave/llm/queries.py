@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, packing, quality, secret_scan, warc
+from . import html_extract, mixing, packing, quality, secret_scan, warc
 from .common import table
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, sf_dir)
 
@@ -29,6 +33,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_source_mixing": op1_source_mixing,
     "op2_warc": op2_warc,
     "op3_html_extract": op3_html_extract,
     "op5_best_fit_packing": op5_best_fit_packing,
@@ -36,4 +41,6 @@ QUERIES = {
     "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_source_mixing": mixing.report_sql(),
+}
