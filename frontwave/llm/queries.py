@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, mixing, packing, quality, secret_scan, warc
+from . import fingerprints, html_extract, mixing, packing, quality, secret_scan, warc
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_pairs(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,6 +41,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_html_extract": op3_html_extract,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_fingerprints": op6_fingerprints,
     "op7_quality_classifier": op7_quality_classifier,
     "op10_secret_scan": op10_secret_scan,
 }
