@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, html_extract, mixing, packing, quality, secret_scan, warc
+from . import fingerprints, html_extract, jaccard_join, mixing, packing, quality, secret_scan, warc
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.report(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_warc": op2_warc,
     "op3_html_extract": op3_html_extract,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_fingerprints": op6_fingerprints,
     "op7_quality_classifier": op7_quality_classifier,
