@@ -56,7 +56,14 @@ def topic(text: Column) -> Column:
 def _labelled(docs: DataFrame, text: str) -> DataFrame:
     """The documents with their cell and tokens, in columns of our own names."""
     own = {m: F.coalesce(F.col(f"`{m}`").cast("string"), F.lit(NONE)) if m in docs.columns else topic(F.col(text)) for m in MARGINS}
-    return docs.withColumns({f"_mix_{m}": c for m, c in own.items()} | {"_mix_tokens": tokens(F.col(text))})
+    count = tokens(F.col(text)) if text else F.col("mix_words")
+    return docs.withColumns({f"_mix_{m}": c for m, c in own.items()} | {"_mix_tokens": count})
+
+
+def slim(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """What mixing needs of the documents, without their texts, made in one scan and written to the shared folder."""
+    own = _labelled(docs, text)
+    return written(own.select(key, *[F.col(f"_mix_{m}").alias(m) for m in MARGINS], F.col("_mix_tokens").alias("mix_words")), "mixing")
 
 
 def _targets(cells: DataFrame, margin: str, given: dict[str, float] | None, temper: float) -> DataFrame:
@@ -112,7 +119,10 @@ def calibrate(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", targets: dict[str, dict[str, float]] | None = None, temper: dict[str, float] | None = None, budget: float = BUDGET, rounds: int = ROUNDS, seed: int = SEED, small_cells: int = SMALL_CELLS) -> DataFrame:
-    """Add mix_topic, mix_tokens, mix_weight (raked / tokens of the cell), mix_probability and mix_sampled to every document."""
+    """Add mix_topic, mix_tokens, mix_weight (raked / tokens of the cell), mix_probability and mix_sampled to every document.
+
+    An empty name of the text column stands for documents from :func:`slim`.
+    """
     labelled = _labelled(docs.drop("mix_topic", "mix_tokens", "mix_weight", "mix_probability", "mix_sampled"), text)
     cells = labelled.groupBy(*[F.col(f"_mix_{m}").alias(m) for m in MARGINS]).agg(F.sum("_mix_tokens").alias("tokens"))
     raked, n = rake(cells, targets, temper, rounds, small_cells)
@@ -125,7 +135,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", targets: dict[
 
 def report(docs: DataFrame) -> DataFrame:
     """The query's rows: every document with its cell's weight and probability, and whether it is drawn."""
-    got = mix(docs)
+    got = mix(slim(docs), text="")
     return got.select("doc_id", "mix_topic", "mix_tokens", F.round("mix_weight", 6).alias("mix_weight"), F.round("mix_probability", 6).alias("mix_probability"), "mix_sampled")
 
 
