@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, html_extract, jaccard_join, mixing, packing, quality, secret_scan, suffix_dedup, warc
+from . import fingerprints, html_extract, jaccard_join, mixing, packing, quality, secret_scan, suffix_dedup, topk, warc
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -52,10 +56,12 @@ QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_fingerprints": op6_fingerprints,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_exact_topk": op8_exact_topk,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_source_mixing": mixing.report_sql(),
+    "op8_exact_topk": topk.report_sql(),
 }
