@@ -1,0 +1 @@
+"""Reserved for streamed edges. The engine's graphs are immutable batches: there is no streaming operator to offer."""
