@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import RunStats
 from ..graph import Graph
-from .fixpoint import cut, drop_checkpoint
+from .fixpoint import cut, drop
 
 #: Above this many rounds' tables, the visited ones are merged into one.
 _MERGE = 8
@@ -24,14 +24,14 @@ def bfs(graph: Graph, source: int = 0, directed: bool = True, most: int | None =
     stats = stats or RunStats()
     pairs = (graph.edges if directed else graph.symmetrize().edges).where("src <> dst").select("src", "dst").distinct()
     edges = pairs.repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
-    frontier = cut(graph.vertices.where(F.col("id") == source).select("id", F.lit(0).alias("distance")))
+    frontier, _ = cut(graph.vertices.where(F.col("id") == source).select("id", F.lit(0).alias("distance")))
     visited, parts = frontier, [frontier]
     depth = 0
     while most is None or depth < most:
         depth += 1
         reached = edges.join(frontier.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
-        new = cut(reached.join(visited, "id", "left_anti").select("id", F.lit(depth).alias("distance")))
-        count = new.count()
+        new, seen = cut(reached.join(visited, "id", "left_anti").select("id", F.lit(depth).alias("distance")), {"n": F.count(F.lit(1))})
+        count = seen["n"]
         stats.add_datapoint("frontier", count)
         if not count:
             break
@@ -40,9 +40,9 @@ def bfs(graph: Graph, source: int = 0, directed: bool = True, most: int | None =
             merged = parts[0]
             for p in parts[1:]:
                 merged = merged.unionByName(p)
-            merged = cut(merged)
+            merged, _ = cut(merged)
             for p in parts[:-1]:
-                drop_checkpoint(p)
+                drop(p)
             parts = [merged]
         visited = parts[0]
         for p in parts[1:]:

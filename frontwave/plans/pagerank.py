@@ -28,6 +28,11 @@ def _checked(alpha: float, epsilon: float) -> None:
         raise ValueError("alpha must be in [0, 1] and epsilon over 0")
 
 
+def _move() -> dict:
+    """The largest move of a rank, observed while a round is written."""
+    return {"delta": F.max(F.abs(F.col("rank") - F.col("old")))}
+
+
 def _shares(graph: Graph) -> DataFrame:
     return transition(graph.edges).repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -51,14 +56,11 @@ def pagerank(graph: Graph, alpha: float = ALPHA, epsilon: float = EPSILON, most:
         sent = shares.join(now.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("p") * F.col("rank")).alias("got"))
         return now.join(sent, "id", "left").select("id", (F.lit(1 - alpha) + alpha * F.coalesce("got", F.lit(0.0))).alias("rank"), F.col("rank").alias("old"))
 
-    def stop(now: DataFrame, done: int) -> bool:
-        if rounds is not None:
-            return done >= rounds
-        delta = now.agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0]
-        stats.add_datapoint("delta", delta or 0.0)
-        return delta is None or delta < epsilon
+    def stop(seen: dict, done: int) -> bool:
+        stats.add_datapoint("delta", seen["delta"] or 0.0)
+        return done >= rounds if rounds is not None else seen["delta"] is None or seen["delta"] < epsilon
 
-    state, done, by_itself = fixpoint(state, step, stop, most if rounds is None else rounds)
+    state, done, by_itself = fixpoint(state, step, _move(), stop, most if rounds is None else rounds)
     stats.add_stat("iterations", done)
     stats.add_stat("converged", by_itself and rounds is None)
     stats.checkpoint("pagerank")
@@ -72,21 +74,8 @@ def pagerank(graph: Graph, alpha: float = ALPHA, epsilon: float = EPSILON, most:
 def deltas(graph: Graph, rounds: int, alpha: float = ALPHA) -> DataFrame:
     """round, delta: the largest move of a rank in each round."""
     stats = RunStats()
-    shares = _shares(graph)
-    state = graph.vertices.select("id", F.lit(1 - alpha).alias("rank"))
-    seen: list[tuple[int, float]] = []
-
-    def step(now: DataFrame, _: int) -> DataFrame:
-        sent = shares.join(now.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("p") * F.col("rank")).alias("got"))
-        return now.join(sent, "id", "left").select("id", (F.lit(1 - alpha) + alpha * F.coalesce("got", F.lit(0.0))).alias("rank"), F.col("rank").alias("old"))
-
-    def stop(now: DataFrame, done: int) -> bool:
-        seen.append((done, now.agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0))
-        return done >= rounds
-
-    fixpoint(state, step, stop, rounds, stats)
-    shares.unpersist()
-    return graph.spark.createDataFrame(seen, "round int, delta double")
+    pagerank(graph, alpha=alpha, rounds=rounds, stats=stats)
+    return graph.spark.createDataFrame(list(enumerate(stats.series.get("delta", []), 1)), "round int, delta double")
 
 
 def residual_pagerank(graph: Graph, alpha: float = ALPHA, epsilon: float = EPSILON, most: int = MOST_ROUNDS, rounds: int | None = None, integers: bool = False, normalized: bool = True, stats: RunStats | None = None) -> DataFrame:
@@ -122,12 +111,11 @@ def residual_pagerank(graph: Graph, alpha: float = ALPHA, epsilon: float = EPSIL
         moved = now.join(got, "id", "left").select("id", F.when(F.col("active"), F.col("weight") + F.col("residual")).otherwise(F.col("weight")).alias("weight"), (left + F.coalesce("got", none)).alias("residual"))
         return moved.withColumn("active", F.col("residual") >= threshold)
 
-    def stop(now: DataFrame, done: int) -> bool:
-        active = now.where("active").count()
-        stats.add_datapoint("wl_size", active)
-        return not active
+    def stop(seen: dict, done: int) -> bool:
+        stats.add_datapoint("wl_size", seen["active"])
+        return not seen["active"]
 
-    state, done, _ = fixpoint(state, step, stop, most if rounds is None else rounds)
+    state, done, _ = fixpoint(state, step, {"active": F.count(F.when(F.col("active"), 1))}, stop, most if rounds is None else rounds)
     stats.add_stat("iterations", done)
     shares.unpersist()
     ranks = state.select("id", (F.col("weight") / SCALE if integers else F.col("weight")).alias("rank"))
