@@ -10,9 +10,11 @@
 4. Suffix filter: the sets are cut into 64 ranges of the hash space and the ranges' counts are compared, whose difference
    bounds the symmetric difference from below. Distinct pairs that pass are verified once, by their whole sets.
 5. Components of the links, by star rounds.
-6. Long lists whose rows are in more than one component: every pair of rows from different components passes through the
-   same filters and verification, with the list's largest component on one side only. Then no link between
-   different components can be missing, so the components are exact.
+6. Long lists whose rows are in more than one component are looked at again, in rounds: each row outside the list's
+   largest component meets the list's rows of other components, in blocks, under the same filters (the suffix filter too, before
+   a pair is emitted), and the nearest few of each component not yet tested are verified. The number taken grows eightfold each
+   round, links merge components, and the rounds end when no untested pair passes the filters. So no link between different
+   components can be missing, and the components are exact, but copies are not expanded into all pairs.
 
 Hash collisions: sets are compared by 64-bit hashes of grams, equal sets by 128-bit digests.
 
@@ -35,6 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bloom
 from .common import BATCH_ROWS, written
 from .components import components
 
@@ -277,36 +280,30 @@ def suffix_filter(pairs: DataFrame, nodes: DataFrame, settings: JoinSettings) ->
     return written(joined.mapInArrow(over, "a long, b long"), "candidates")
 
 
-def verify(docs: DataFrame, pairs: DataFrame, settings: JoinSettings, per_task: int = 2048) -> DataFrame:
-    """The pairs that link, by their whole sets.
+def sets_of(docs: DataFrame, rows: DataFrame, settings: JoinSettings) -> DataFrame:
+    """row, grams: the whole sets of the rows in question, made again from the texts.
 
-    The sets of the rows in question are made again from the texts, in a scan that passes over all others by a Bloom
-    filter of fixed size (a row let through by mistake finds no pair). A centre's partners are dealt to tasks of
-    ``per_task`` each, so a hot centre is spread.
+    The scan passes over all others by a Bloom filter of fixed size (a row let through by mistake finds no pair).
     """
-    spark = pairs.sparkSession
-    bits, size, num, den = settings.bloom_bits, settings.words, settings.num, settings.den
-    place = F.pmod(F.col("row"), F.lit(1 << bits))
-    parts = pairs.select(F.explode(F.array("a", "b")).alias("row")).groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
-    width = 4096
-    bloom = np.zeros((1 << bits) // 8 + 2 * width, np.uint8)
-    for p in parts:
-        bloom[p.k * width : p.k * width + len(p.bits)] = np.frombuffer(bytes(p.bits), np.uint8)
-    shared = spark.sparkContext.broadcast(bloom)
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom = shared.value
+    spark = docs.sparkSession
+    bits, size = settings.bloom_bits, settings.words
+    shared = spark.sparkContext.broadcast(bloom.build(rows, "row", bits))
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, grams = [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                g = gram_set(text, size)
-                key = _row_key(i, _digest(g))
-                p = key & ((1 << bits) - 1)
-                k, bit = bucket_of(p)
-                if bloom[k * width + bit // 8] >> (bit % 8) & 1:
-                    row.append(key)
-                    grams.append(g.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(grams, pa.binary())], ["row", "grams"])
+            made = [gram_set(text, size) for text in batch.column(1).to_pylist()]
+            keys = np.array([_row_key(i, _digest(g)) for i, g in zip(batch.column(0).to_pylist(), made, strict=True)], np.int64)
+            keep = np.flatnonzero(bloom.may_hold(shared.value, keys, bits)) if len(keys) else []
+            yield pa.RecordBatch.from_arrays([pa.array(keys[keep], pa.int64()), pa.array([made[i].tobytes() for i in keep], pa.binary())], ["row", "grams"])
+
+    _batches(spark, BATCH_ROWS)
+    return written(docs.select("doc_id", "text").mapInArrow(over, "row long, grams binary").dropDuplicates(["row"]), "sets")
+
+
+def verify(made: DataFrame, pairs: DataFrame, settings: JoinSettings, per_task: int = 2048) -> DataFrame:
+    """The pairs that link, by their whole sets. A centre's partners are dealt to tasks of ``per_task`` each, so a hot centre is spread."""
+    spark = pairs.sparkSession
+    num, den = settings.num, settings.den
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, own = None, np.empty(0, U)
@@ -325,8 +322,6 @@ def verify(docs: DataFrame, pairs: DataFrame, settings: JoinSettings, per_task:
                     b.append(cb)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    _batches(spark, BATCH_ROWS)
-    made = written(docs.select("doc_id", "text").mapInArrow(sets, "row long, grams binary").dropDuplicates(["row"]), "sets")
     tasks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / per_task).alias("tasks"))
     dealt = pairs.join(tasks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("tasks")).alias("part"))
     members = dealt.join(made.withColumnRenamed("row", "b"), "b").select("a", "part", "b", "grams")
@@ -336,25 +331,68 @@ def verify(docs: DataFrame, pairs: DataFrame, settings: JoinSettings, per_task:
     return written(rows.mapInArrow(over, "a long, b long"), "links")
 
 
-def bucket_of(place: int) -> tuple[int, int]:
-    """Spark's bitmap bucket and bit of a number: buckets of 32,768 from 1 on, 0 in a bucket of its own."""
-    return (0, 0) if place == 0 else (1 + (place - 1) // 32_768, (place - 1) % 32_768)
-
+def cross_pairs(lists: DataFrame, labels: DataFrame, settings: JoinSettings, take: int, side: int = 4096) -> DataFrame:
+    """(a, b): for each row outside its list's largest component, the ``take`` nearest rows of each other component among those that pass all filters.
 
-def cross_pairs(postings: DataFrame, long: DataFrame, labels: DataFrame, settings: JoinSettings) -> DataFrame:
-    """Pairs of rows of a long list that are in different components, the list's largest component on one side only."""
-    own = postings.join(long, "gram").join(labels.withColumnRenamed("node", "row"), "row", "left").select("gram", "n", "row", "pos", F.coalesce("label", "row").alias("label"))
-    step = F.log(F.lit(settings.den / settings.num))
-    own = written(own.withColumn("band", F.floor(F.log("n") / step).cast("long")), "lists")
+    ``lists`` has gram, n, row, pos, ranges, band. Rows meet by gram and band of size, in blocks of about ``side`` by ``side`` rows.
+    """
+    num, den = settings.num, settings.den
+    own = lists.join(labels.withColumnRenamed("node", "row"), "row", "left").select("gram", "band", "n", "row", "pos", F.coalesce("label", "row").alias("label"), "ranges")
     sizes = own.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("c"))
     largest = sizes.groupBy("gram").agg(F.max_by("label", F.struct("c", "label")).alias("largest"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("gram", "largest")
-    rest = own.join(largest, "gram").where("label <> largest").select("gram", F.col("n").alias("n2"), F.col("row").alias("row2"), F.col("pos").alias("pos2"), F.col("label").alias("label2"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    total = F.col("n") + F.col("n2")
-    need = F.ceil(F.lit(settings.num) * total / F.lit(settings.num + settings.den))
-    small, large = F.least("n", "n2"), F.greatest("n", "n2")
-    fits = (F.col("label") != F.col("label2")) & (small * settings.den >= large * settings.num) & (F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= need)
-    first = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("row") < F.col("row2")))
-    return own.join(rest, ["gram", "band"]).where(fits).select(F.when(first, F.col("row")).otherwise(F.col("row2")).alias("a"), F.when(first, F.col("row2")).otherwise(F.col("row")).alias("b")).distinct()
+    own = own.join(largest, "gram")
+    rest = own.where("label <> largest").select("gram", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "n", "row", "pos", "label", "ranges")
+    blocks = own.groupBy("gram", "band").agg(F.ceil(F.count(F.lit(1)) / side).alias("of_all")).join(rest.groupBy("gram", "band").agg(F.ceil(F.count(F.lit(1)) / side).alias("of_rest")), ["gram", "band"])
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    dealt = lambda n: F.pmod(F.xxhash64("row"), F.col(n))
+    columns = ["n", "row", "pos", "label", "ranges"]
+    every = own.join(blocks, ["gram", "band"]).select("gram", "band", dealt("of_all").alias("x"), spread("of_rest").alias("y"), F.lit(False).alias("outer"), *columns)
+    outer = rest.join(blocks, ["gram", "band"]).select("gram", "band", spread("of_all").alias("x"), dealt("of_rest").alias("y"), F.lit(True).alias("outer"), *columns)
+
+    def near(rows: list[tuple]) -> set[tuple[int, int]]:
+        found: set[tuple[int, int]] = set()
+        outer = [r for r in rows if r[4]]
+        every = [r for r in rows if not r[4]]
+        if not outer or not every:
+            return found
+        n, row, pos, label = (np.array([r[i] for r in every], np.int64) for i in (5, 6, 7, 8))
+        ranges = np.frombuffer(b"".join(r[9] for r in every), np.uint8).reshape(-1, _RANGES).astype(np.int16)
+        for _, _, _, _, _, m, r, q, k, raw in outer:
+            least = settings.overlap(n + m)
+            at = np.flatnonzero((label != k) & (np.minimum(n, m) * den >= np.maximum(n, m) * num) & (np.minimum(n - pos, m - q) >= least))
+            if not len(at):
+                continue
+            apart = np.abs(ranges[at] - np.frombuffer(raw, np.uint8).astype(np.int16)).sum(axis=1)
+            fits = apart <= n[at] + m - 2 * least[at]
+            at, apart = at[fits], apart[fits]
+            order = np.lexsort((row[at], apart, label[at]))
+            at = at[order]
+            first = np.flatnonzero(np.concatenate([[True], label[at][1:] != label[at][:-1]])) if len(at) else np.empty(0, np.int64)
+            place = np.arange(len(at)) - np.repeat(first, np.diff(np.concatenate([first, [len(at)]])))
+            for j in at[place < take].tolist():
+                x, y = (m, r), (int(n[j]), int(row[j]))
+                found.add((x[1], y[1]) if x < y else (y[1], x[1]))
+        return found
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            found = sorted(near(held))
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for r in zip(*(batch.column(i).to_pylist() for i in range(10)), strict=True):
+                if held and held[-1][:4] != r[:4]:
+                    yield out()
+                    held = []
+                held.append(r)
+        if held:
+            yield out()
+
+    _batches(lists.sparkSession, 4096)
+    rows = every.unionByName(outer).repartition("gram", "band", "x", "y").sortWithinPartitions("gram", "band", "x", "y")
+    return rows.mapInArrow(over, "a long, b long").distinct()
 
 
 def similar_classes(docs: DataFrame, settings: JoinSettings = JoinSettings(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -368,15 +406,24 @@ def similar_classes(docs: DataFrame, settings: JoinSettings = JoinSettings(), ke
     postings = nodes.select("row", "n", F.posexplode("prefix").alias("pos", "gram"))
     _batches(spark, 65_536)
     lists = written(list_pairs(postings, settings), "pairs")
-    candidates = suffix_filter(lists.where("a is not null").select("a", "b").distinct(), nodes, settings)
-    links = verify(docs, candidates, settings)
+    tested = suffix_filter(lists.where("a is not null").select("a", "b").distinct(), nodes, settings)
+    step = F.log(F.lit(settings.den / settings.num))
+    long = postings.join(lists.where("a is null").select("gram").distinct(), "gram").join(nodes.select("row", "ranges"), "row")
+    long = written(long.select("gram", "n", "row", "pos", "ranges", F.floor(F.log("n") / step).cast("long").alias("band")), "lists")
+    asked = tested.select(F.explode(F.array("a", "b")).alias("row")).unionByName(long.select("row")).distinct()
+    made = sets_of(docs, asked, settings)
+    links = verify(made, tested, settings)
     labels = written(components(links), "labels")
-    long = lists.where("a is null").select("gram").distinct()
-    if not long.isEmpty():
-        more = suffix_filter(cross_pairs(postings, long, labels, settings).join(candidates, ["a", "b"], "left_anti"), nodes, settings)
-        if not more.isEmpty():
-            links = written(links.unionByName(verify(docs, more, settings)), "links")
-            labels = written(components(links), "labels")
+    take = 2
+    while not long.isEmpty():
+        more = written(cross_pairs(long, labels, settings, take).join(tested, ["a", "b"], "left_anti"), "candidates")
+        if more.isEmpty():
+            break
+        found = verify(made, more, settings)
+        tested, links, take = tested.unionByName(more), links.unionByName(found), 8 * take
+        merged = _merged(labels, found)
+        if merged is not None:
+            labels = merged
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
     placed = every.select("doc_id", "row", "n", "digest").join(classes, "digest", "left").withColumn("rep", F.coalesce("first", "row"))
     placed = placed.join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
@@ -384,6 +431,18 @@ def similar_classes(docs: DataFrame, settings: JoinSettings = JoinSettings(), ke
     return placed.join(least, "label", "left").select("doc_id", "row", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def _merged(labels: DataFrame, found: DataFrame) -> DataFrame | None:
+    """The labels after new links, by the components of the old components; None if nothing changes."""
+    if found.isEmpty():
+        return None
+    own = lambda c: found.select("a", "b").join(labels.withColumnRenamed("node", c).withColumnRenamed("label", f"l{c}"), c, "left")
+    ends = own("a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
+    moved = components(ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
+    every = labels.unionByName(moved.select("node", F.col("node").alias("label")).join(labels.select("node"), "node", "left_anti"))
+    step = moved.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return written(every.join(step, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+
+
 #: The query's contract: shingles of three words, similarity of 90 hundredths.
 CONTRACT = JoinSettings(words=3, num=90, den=100)
 
