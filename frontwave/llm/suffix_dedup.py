@@ -290,15 +290,25 @@ def suffix_order(data: np.ndarray, p: np.ndarray, places: np.ndarray, group: np.
     return order
 
 
-def repeated(contexts: list[bytes], group: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each context, which of its windows also occur elsewhere among the contexts of its group (given in rising order)."""
+def repeated(contexts: list[bytes], group: np.ndarray, settings: DedupSettings) -> list[np.ndarray]:
+    """For each context, which of its windows also occur elsewhere among the contexts of its group (given in rising order).
+
+    Equal windows have their anchor at the same place, so the suffixes of a group are sorted apart by that place.
+    """
+    length, grams = settings.length, settings.length - settings.gram + 1
     data = np.frombuffer(b"".join(contexts), np.uint8)
     sizes = np.array([len(c) for c in contexts])
     begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     windows = sizes - length + 1
-    places = np.repeat(begins - np.concatenate([[0], np.cumsum(windows)[:-1]]), windows) + np.arange(windows.sum())
-    groups = np.repeat(group, windows)
+    within = np.arange(windows.sum()) - np.repeat(np.concatenate([[0], np.cumsum(windows)[:-1]]), windows)
+    places = np.repeat(begins, windows) + within
     p = prefix_hashes(data)
+    n = len(data) - settings.gram + 1
+    keys = _mix((p[settings.gram :] - p[:n]) * _powers(len(data) + 1)[1][:n]) & ~U((1 << _PLACE) - 1)
+    anchors = np.concatenate([keys[begins[lo : lo + 4096, None] + np.arange(grams)].argmin(axis=1) for lo in range(0, len(begins), 4096)])
+    bucket = np.repeat(group, windows) * (2 * grams) + np.repeat(anchors, windows) - within + grams
+    by_place = np.argsort(bucket, kind="stable")
+    places, groups = places[by_place], bucket[by_place]
     order = suffix_order(data, p, places, groups, length)
     x, y = places[order[:-1]], places[order[1:]]
     same = groups[order[:-1]] == groups[order[1:]]
@@ -310,7 +320,9 @@ def repeated(contexts: list[bytes], group: np.ndarray, length: int) -> list[np.n
         part = part[(data[x[part][:, None] + span] == data[y[part][:, None] + span]).all(axis=1)]
         twice[order[part]] = True
         twice[order[part + 1]] = True
-    return np.split(twice, np.cumsum(windows)[:-1])
+    flags = np.empty(len(twice), bool)
+    flags[by_place] = twice
+    return np.split(flags, np.cumsum(windows)[:-1])
 
 
 def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -350,7 +362,7 @@ def contexts(docs: DataFrame, wanted: DataFrame, settings: DedupSettings) -> Dat
 
 def resolve(opened: DataFrame, settings: DedupSettings) -> DataFrame:
     """row, a, b of the repeated windows of open records: the suffix sort, for anchors of few contexts."""
-    length, most = settings.length, 1 << 20
+    most = 1 << 20
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -358,7 +370,7 @@ def resolve(opened: DataFrame, settings: DedupSettings) -> DataFrame:
 
         def sort(rows: list[tuple]) -> pa.RecordBatch:
             ids = np.cumsum(np.concatenate([[0], [x[0] != y[0] for x, y in zip(rows, rows[1:], strict=False)]])).astype(np.int64)
-            out = [(r[1], r[2] + s, r[2] + e) for r, flags in zip(rows, repeated([r[5] for r in rows], ids, length), strict=True) if r[4] == 1 for s, e in _spans(flags)]
+            out = [(r[1], r[2] + s, r[2] + e) for r, flags in zip(rows, repeated([r[5] for r in rows], ids, settings), strict=True) if r[4] == 1 for s, e in _spans(flags)]
             return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int32())], ["row", "a", "b"])
 
         for batch in batches:
