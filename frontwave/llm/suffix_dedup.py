@@ -50,7 +50,7 @@ class DedupSettings:
     length: int = 200
     gram: int = 64
     hot: int = 1024
-    segment: int = 4 << 20
+    segment: int = 1 << 19
     bloom_bits: int = 25
 
 
@@ -362,7 +362,7 @@ def contexts(docs: DataFrame, wanted: DataFrame, settings: DedupSettings) -> Dat
 
 def resolve(opened: DataFrame, settings: DedupSettings) -> DataFrame:
     """row, a, b of the repeated windows of open records: the suffix sort, for anchors of few contexts."""
-    most = 1 << 20
+    most = 1 << 18
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
