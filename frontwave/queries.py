@@ -66,10 +66,10 @@ QUERIES: dict[str, Query] = {
     "pagerank_raw": _on("seq", lambda g: _ranked(pagerank(g, rounds=K, normalized=False))),
     "pagerank_dangling": _on("supply", lambda g: _ranked(pagerank(g, rounds=K))),
     "pagerank_undirected": _on("hot", lambda g: _ranked(pagerank(g, rounds=K, directed=False))),
-    "pagerank_converged": _on("hot", lambda g: _ranked(pagerank(g, epsilon=1e-9), 6)),
+    "pagerank_converged": _on("hot", lambda g: _ranked(pagerank(g, epsilon=1e-7), 6)),
     "pagerank_topk": _on("seq", lambda g: top_ranked(_ranked(pagerank(g, rounds=K)), 10)),
     "pagerank_delta": _on("hot", lambda g: deltas(g, K).select("round", F.round("delta", 7).alias("delta"))),
-    "pagerank_residual": _on("seq", lambda g: _ranked(residual_pagerank(g, epsilon=1e-9), 6)),
+    "pagerank_residual": _on("seq", lambda g: _ranked(residual_pagerank(g, epsilon=1e-7), 6)),
     "pagerank_fixed_point": _on("hot", lambda g: residual_pagerank(g, rounds=12, integers=True, normalized=False).select("id", F.round(F.col("rank") * 2**20).cast("long").alias("weight"))),
 }
 
