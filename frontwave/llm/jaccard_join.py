@@ -337,10 +337,12 @@ def cross_pairs(lists: DataFrame, labels: DataFrame, settings: JoinSettings, tak
     ``lists`` has gram, n, row, pos, ranges, band. Rows meet by gram and band of size, in blocks of about ``side`` by ``side`` rows.
     """
     num, den = settings.num, settings.den
-    own = lists.join(labels.withColumnRenamed("node", "row"), "row", "left").select("gram", "band", "n", "row", "pos", F.coalesce("label", "row").alias("label"), "ranges")
-    sizes = own.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("c"))
+    named = labels.withColumnRenamed("node", "row")
+    slim = lists.select("gram", "row").join(named, "row", "left").select("gram", F.coalesce("label", "row").alias("label"))
+    sizes = slim.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("c"))
     largest = sizes.groupBy("gram").agg(F.max_by("label", F.struct("c", "label")).alias("largest"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("gram", "largest")
-    own = own.join(largest, "gram")
+    # only lists of several components go on with their ranges
+    own = lists.join(largest, "gram").join(named, "row", "left").select("gram", "band", "n", "row", "pos", F.coalesce("label", "row").alias("label"), "ranges", "largest")
     rest = own.where("label <> largest").select("gram", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "n", "row", "pos", "label", "ranges")
     blocks = own.groupBy("gram", "band").agg(F.ceil(F.count(F.lit(1)) / side).alias("of_all")).join(rest.groupBy("gram", "band").agg(F.ceil(F.count(F.lit(1)) / side).alias("of_rest")), ["gram", "band"])
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
