@@ -65,13 +65,14 @@ def is_chrome(name: str, attributes: str, in_main: bool) -> bool:
     """Whether an element opens page chrome. A header is chrome only outside an article."""
     if name in CHROME or name == "header" and not in_main:
         return True
-    if not attributes or name in ("body", "html") or name in MAIN:
+    if not attributes:
         return False
+    whole = name in ("body", "html") or name in MAIN
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
             return True
-        if key in ("class", "id", "role"):
+        if key in ("class", "id", "role") and not whole:
             words = set(re.split(r"[^a-z0-9]+", value))
             if words & CHROME_WORDS or "header" in words and not in_main:
                 return True
