@@ -268,7 +268,7 @@ def test_pipeline(spark, tmp_path):
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
     good = [" ".join(word() for _ in range(80)) for _ in range(60)]
     bad = [" ".join(rng.choice(["BUY!!", "NOW!!", "CHEAP!!", "WIN!!"]) for _ in range(80)) for _ in range(30)]
-    texts = good + bad + [good[0], good[1] + " tail", "token = abcdefgh12345 " + good[2][:-20]]
+    texts = good + bad + [good[0], good[1] + " tail", "token = abcdefgh12345 " + " ".join(word() for _ in range(80))]
     docs = spark.createDataFrame([(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(texts)], FULL)
     docs.write.parquet(f"file://{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, int(i < 60), int(i >= 60)) for i in range(90)], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
