@@ -15,6 +15,8 @@
    a pair is emitted), and the nearest few of each component not yet tested are verified. The number taken grows eightfold each
    round, links merge components, and the rounds end when no untested pair passes the filters. So no link between different
    components can be missing, and the components are exact, but copies are not expanded into all pairs.
+7. Links are counted exactly. Where all shared lists were short, every pair was verified; a component with a row of a long
+   list is counted as a whole, all its pairs, in blocks of whole sets (``link_counts``), of which only a sum for each row leaves.
 
 Hash collisions: sets are compared by 64-bit hashes of grams, equal sets by 128-bit digests.
 
@@ -397,8 +399,102 @@ def cross_pairs(lists: DataFrame, labels: DataFrame, settings: JoinSettings, tak
     return rows.mapInArrow(over, "a long, b long").distinct()
 
 
+def tile_links(left: list[np.ndarray], right: list[np.ndarray], settings: JoinSettings, columns: int = 1024, pairs: int = 4_000_000) -> np.ndarray:
+    """Which of the left sets link with which of the right ones. Grams of many rows are counted by matrix products, the others pair by pair."""
+    nl, nr = (np.array([len(g) for g in side], np.int64) for side in (left, right))
+    gl, gr = np.concatenate(left), np.concatenate(right)
+    shared = np.intersect1d(gl, gr)
+    both = np.zeros((len(nl), len(nr)), np.float32)  # exact up to 2**24 grams
+    if len(shared):
+        ends = []
+        for grams, n in ((gl, nl), (gr, nr)):
+            at = np.minimum(np.searchsorted(shared, grams), len(shared) - 1)
+            hit = shared[at] == grams
+            row, at = np.repeat(np.arange(len(n)), n)[hit], at[hit]
+            order = np.argsort(at, kind="stable")
+            ends.append((row[order], np.bincount(at, minlength=len(shared))))
+        (rl, dl), (rr, dr) = ends
+        el, er = np.cumsum(dl), np.cumsum(dr)
+        many = dl * dr * 128 > both.size
+        heavy, light = np.flatnonzero(many), np.flatnonzero(~many)
+        for k in range(0, len(heavy), columns):
+            part = heavy[k : k + columns]
+            a, b = np.zeros((len(nl), len(part)), np.float32), np.zeros((len(nr), len(part)), np.float32)
+            for c, v in enumerate(part.tolist()):
+                a[rl[el[v] - dl[v] : el[v]], c] = 1
+                b[rr[er[v] - dr[v] : er[v]], c] = 1
+            both += a @ b.T
+        work = np.cumsum(dl[light] * dr[light])
+        first = 0
+        while first < len(light):
+            end = max(first + 1, int(np.searchsorted(work, (work[first - 1] if first else 0) + pairs, side="right")))
+            v = light[first:end]
+            n = dl[v] * dr[v]
+            gram = np.repeat(np.arange(len(v)), n)
+            place = np.arange(len(gram)) - np.repeat(np.cumsum(n) - n, n)
+            i, j = rl[(el - dl)[v][gram] + place // dr[v][gram]], rr[(er - dr)[v][gram] + place % dr[v][gram]]
+            both += np.bincount(i * len(nr) + j, minlength=both.size).reshape(both.shape).astype(np.float32)
+            first = end
+    both = both.astype(np.int64)
+    return settings.den * both >= settings.num * (nl[:, None] + nr[None, :] - both)
+
+
+def link_counts(made: DataFrame, members: DataFrame, settings: JoinSettings, side: int = 4096, most: int = 2_000_000, tile: int = 1024) -> DataFrame:
+    """rep, links: with how many rows of its component each row links. ``members`` has node, label.
+
+    A component is cut into parts of about ``side`` rows and at most about ``most`` grams; each two parts meet in one block,
+    and a block is worked off in tiles. Pairs never leave a block.
+    """
+    num, den = settings.num, settings.den
+    sized = members.select(F.col("node").alias("row"), "label").join(made, "row").select("row", "label", "grams")
+    parts = sized.groupBy("label").agg(F.ceil(F.greatest(F.count(F.lit(1)) / side, F.sum(F.length("grams")) / (8 * most))).cast("long").alias("parts"))
+    dealt = sized.join(parts, "label").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    rows = met.select("label", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "row", "grams")
+
+    def tiles(held: list[tuple]) -> list[tuple[np.ndarray, list[np.ndarray]]]:
+        held = sorted(((r[4], np.frombuffer(r[5], U)) for r in held), key=lambda r: len(r[1]))
+        return [(np.array([r for r, _ in held[i : i + tile]], np.int64), [g for _, g in held[i : i + tile]]) for i in range(0, len(held), tile)]
+
+    def block(held: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        _, x, y = held[0][:3]
+        left = tiles([r for r in held if r[3] == x])
+        right = left if x == y else tiles([r for r in held if r[3] == y])
+        for i, (a, own) in enumerate(left):
+            for b, others in right[i:] if x == y else right:
+                if len(own[-1]) * den < num * len(others[0]) or len(others[-1]) * den < num * len(own[0]):
+                    continue
+                hit = tile_links(own, others, settings)
+                if a is b:
+                    np.fill_diagonal(hit, False)
+                    yield a, hit.sum(axis=1)
+                else:
+                    yield a, hit.sum(axis=1)
+                    yield b, hit.sum(axis=0)
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for row, n in block(held):
+                yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(n, pa.int64())], ["rep", "links"])
+
+        for batch in batches:
+            for r in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if held and held[-1][:3] != r[:3]:
+                    yield from out()
+                    held = []
+                held.append(r)
+        if held:
+            yield from out()
+
+    _batches(made.sparkSession, 256)
+    spread = rows.repartition("label", "x", "y").sortWithinPartitions("label", "x", "y")
+    return written(spread.mapInArrow(over, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links")), "counts")
+
+
 def similar_classes(docs: DataFrame, settings: JoinSettings = JoinSettings(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, row, n_shingles, component_id (the least id of the component), n_links (links found between class representatives)."""
+    """doc_id, row, n_shingles, component_id (the least id of the component), n_links (the number of other classes that the document's class links with)."""
     spark = docs.sparkSession
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     every = profiles(docs, settings)
@@ -426,7 +522,11 @@ def similar_classes(docs: DataFrame, settings: JoinSettings = JoinSettings(), ke
         merged = _merged(labels, found)
         if merged is not None:
             labels = merged
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+    whole = labels.join(long.select(F.col("row").alias("node")), "node", "left_semi").select("label").distinct()
+    members = written(labels.join(whole, "label", "left_semi").select("node", "label"), "members")
+    rest = links.join(members.select(F.col("node").alias("a")), "a", "left_anti")
+    degree = rest.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+    degree = degree.unionByName(link_counts(made, members, settings))
     placed = every.select("doc_id", "row", "n", "digest").join(classes, "digest", "left").withColumn("rep", F.coalesce("first", "row"))
     placed = placed.join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     least = placed.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1").select("label", "least")

@@ -97,6 +97,34 @@ def test_jaccard_components(spark, settings, seed):
     assert [got[i].component_id for i in range(len(texts))] == label
 
 
+def brute_links(texts, settings):
+    """The number of other sets that each text's set links with."""
+    sets = [frozenset(jaccard_join.gram_set(t, settings.words).tolist()) for t in texts]
+    different = [s for s in set(sets) if s]
+    links = {s: sum(settings.den * len(s & o) >= settings.num * len(s | o) for o in different if o != s) for s in different}
+    return [links.get(s, 0) for s in sets]
+
+
+@pytest.mark.parametrize("settings", [jaccard_join.CONTRACT, jaccard_join.JoinSettings(words=2, num=60, den=100, long_list=2, heavy=16, heavy_least=2)])
+def test_jaccard_counts_the_links_of_long_lists(spark, settings):
+    rng = random.Random(11)
+    texts = near_copies(rng, 130, 2) + near_copies(rng, 20, 3) + ["", None, "other words", "Other words"]
+    texts += texts[:5]
+    got = {r.doc_id: r.n_links for r in jaccard_join.similar_classes(rows_of(spark, texts), settings).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_links(texts, settings)
+
+
+def test_link_counts_in_blocks(spark):
+    rng = random.Random(12)
+    settings = jaccard_join.JoinSettings(words=3, num=70, den=100)
+    texts = list(dict.fromkeys(near_copies(rng, 60, 8) + near_copies(rng, 30, 8)))
+    made = spark.createDataFrame([(i, bytearray(jaccard_join.gram_set(t, 3).tobytes())) for i, t in enumerate(texts)], "row long, grams binary")
+    members = spark.createDataFrame([(i, 0) for i in range(len(texts))], "node long, label long")
+    for sizes in ({}, {"side": 20, "tile": 7}, {"most": 1500}):
+        got = {r.rep: r.links for r in jaccard_join.link_counts(made, members, settings, **sizes).collect()}
+        assert [got.get(i, 0) for i in range(len(texts))] == brute_links(texts, settings)
+
+
 def test_jaccard_edges(spark):
     assert jaccard_join.similar_classes(rows_of(spark, []).limit(0)).count() == 0
     rows = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (4, "other words are here now"), (None, None)], DOC)
