@@ -12,9 +12,10 @@
 5. Components of the links, by star rounds.
 6. Long lists whose rows are in more than one component are looked at again, in rounds: each row outside the list's
    largest component meets the list's rows of other components, in blocks, under the same filters (the suffix filter too, before
-   a pair is emitted), and the nearest few of each component not yet tested are verified. The number taken grows eightfold each
-   round, links merge components, and the rounds end when no untested pair passes the filters. So no link between different
-   components can be missing, and the components are exact, but copies are not expanded into all pairs.
+   a pair is emitted), and those of the nearest few of each component that were not tested yet are verified. The number taken
+   grows eightfold each round, links merge components, and the rounds end when no row had more passing partners in a component
+   than were taken, tested or not. So no link between different components can be missing, and the components are exact, but
+   copies are not expanded into all pairs.
 7. Links are counted exactly. Where all shared lists were short, every pair was verified; a component with a row of a long
    list is counted as a whole, all its pairs, in blocks of whole sets (``link_counts``), of which only a sum for each row leaves.
 
@@ -334,7 +335,7 @@ def verify(made: DataFrame, pairs: DataFrame, settings: JoinSettings, per_task:
 
 
 def cross_pairs(lists: DataFrame, labels: DataFrame, settings: JoinSettings, take: int, side: int = 4096) -> DataFrame:
-    """(a, b): for each row outside its list's largest component, the ``take`` nearest rows of each other component among those that pass all filters.
+    """(a, b): for each row outside its list's largest component, the ``take`` nearest rows of each other component among those that pass all filters; and (null, null) if some row had more than ``take`` in a component.
 
     ``lists`` has gram, n, row, pos, ranges, band. Rows meet by gram and band of size, in blocks of about ``side`` by ``side`` rows.
     """
@@ -353,12 +354,13 @@ def cross_pairs(lists: DataFrame, labels: DataFrame, settings: JoinSettings, tak
     every = own.join(blocks, ["gram", "band"]).select("gram", "band", dealt("of_all").alias("x"), spread("of_rest").alias("y"), F.lit(False).alias("outer"), *columns)
     outer = rest.join(blocks, ["gram", "band"]).select("gram", "band", spread("of_all").alias("x"), dealt("of_rest").alias("y"), F.lit(True).alias("outer"), *columns)
 
-    def near(rows: list[tuple]) -> set[tuple[int, int]]:
+    def near(rows: list[tuple]) -> tuple[set[tuple[int, int]], bool]:
         found: set[tuple[int, int]] = set()
+        more = False
         outer = [r for r in rows if r[4]]
         every = [r for r in rows if not r[4]]
         if not outer or not every:
-            return found
+            return found, more
         n, row, pos, label = (np.array([r[i] for r in every], np.int64) for i in (5, 6, 7, 8))
         ranges = np.frombuffer(b"".join(r[9] for r in every), np.uint8).reshape(-1, _RANGES).astype(np.int16)
         for _, _, _, _, _, m, r, q, k, raw in outer:
@@ -373,17 +375,19 @@ def cross_pairs(lists: DataFrame, labels: DataFrame, settings: JoinSettings, tak
             at = at[order]
             first = np.flatnonzero(np.concatenate([[True], label[at][1:] != label[at][:-1]])) if len(at) else np.empty(0, np.int64)
             place = np.arange(len(at)) - np.repeat(first, np.diff(np.concatenate([first, [len(at)]])))
+            more |= bool((place >= take).any())
             for j in at[place < take].tolist():
                 x, y = (m, r), (int(n[j]), int(row[j]))
                 found.add((x[1], y[1]) if x < y else (y[1], x[1]))
-        return found
+        return found, more
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def out() -> pa.RecordBatch:
-            found = sorted(near(held))
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+            found, more = near(held)
+            both = [*sorted(found), *[(None, None)] * more]
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in both], pa.int64()), pa.array([x[1] for x in both], pa.int64())], ["a", "b"])
 
         for batch in batches:
             for r in zip(*(batch.column(i).to_pylist() for i in range(10)), strict=True):
@@ -513,12 +517,14 @@ def similar_classes(docs: DataFrame, settings: JoinSettings = JoinSettings(), ke
     links = verify(made, tested, settings)
     labels = written(components(links), "labels")
     take = 2
-    while not long.isEmpty():
-        more = written(cross_pairs(long, labels, settings, take).join(tested, ["a", "b"], "left_anti"), "candidates")
+    going = not long.isEmpty()
+    while going:
+        near = written(cross_pairs(long, labels, settings, take).join(tested, ["a", "b"], "left_anti"), "candidates")
+        going, more, take = not near.where("a is null").isEmpty(), near.where("a is not null"), 8 * take
         if more.isEmpty():
-            break
+            continue
         found = verify(made, more, settings)
-        tested, links, take = tested.unionByName(more), links.unionByName(found), 8 * take
+        tested, links = tested.unionByName(more), links.unionByName(found)
         merged = _merged(labels, found)
         if merged is not None:
             labels = merged

@@ -114,6 +114,26 @@ def test_jaccard_counts_the_links_of_long_lists(spark, settings):
     assert [got[i] for i in range(len(texts))] == brute_links(texts, settings)
 
 
+def test_jaccard_goes_on_past_tested_neighbours(spark):
+    # x links with y3 only, and its two nearest rows by range, y1 and y2, are tested before the rounds and do not link
+    settings = jaccard_join.JoinSettings(words=1, num=80, den=100, long_list=2)
+    hashed = sorted((int(jaccard_join.gram_set(f"w{i}", 1)[0]), f"w{i}") for i in range(4000))
+    of = lambda r: [w for h, w in hashed if h >> 58 == r]
+    base = [w for h, w in hashed[:35]]  # the least hashes: the prefixes are theirs
+    out = [of(r)[0] for r in range(50, 55)]
+    put = [of(r)[1] for r in range(51, 55)]
+    sets = {"x": base + out, "y1": base + put + [of(50)[2]], "y2": base + put + [of(50)[3]], "y3": base + put + [out[4]]}
+    key = lambda name, i: jaccard_join._row_key(i, jaccard_join._digest(jaccard_join.gram_set(" ".join(sets[name]), 1)))
+    rng = random.Random(1)
+    while True:  # ids for which the list is y1 (the head), x, y2, y3
+        ids = dict(zip(sets, rng.sample(range(1000), 4), strict=True))
+        if sorted(sets, key=lambda name: key(name, ids[name])) == ["y1", "x", "y2", "y3"]:
+            break
+    rows = spark.createDataFrame([(ids[name], " ".join(words)) for name, words in sets.items()], DOC)
+    got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard_join.similar_classes(rows, settings).collect()}
+    assert got == {ids[name]: (min(ids.values()), n) for name, n in (("x", 1), ("y1", 2), ("y2", 2), ("y3", 3))}
+
+
 def test_link_counts_in_blocks(spark):
     rng = random.Random(12)
     settings = jaccard_join.JoinSettings(words=3, num=70, den=100)
