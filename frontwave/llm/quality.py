@@ -11,8 +11,8 @@ length and text length by classes), so that the text's form counts beside its wo
 
 An L1 penalty, and a least number of training documents for a bucket to get a weight, keep chance words out of the model.
 
-Training rows are a bounded sample: at most ``max_train`` labelled documents, those with the least hashes of their ids, and
-at most ``max_distinct`` distinct features of each (those with the least bucket hashes). Scoring reads whole texts of all documents.
+Training rows are a bounded sample: at most ``max_train`` labelled documents, those with the least hashes of their ids, each
+with all its features. Scoring reads whole texts of all documents.
 
 Defined results: a null or empty text has shape features only and is scored by them; null labels are left out; a document
 labelled twice counts with its lowest grade; repeated documents score alike; with no labels, or labels of one grade,
@@ -44,7 +44,6 @@ MARKS = b"""!"#$%&'()*+,-./:;<=>?@[]^_`{|}~"""
 class Settings:
     bits: int = 17
     max_train: int = 12_000
-    max_distinct: int = 1500
     least_documents: int = 8
     rounds: int = 150
     rate: float = 0.3
@@ -163,18 +162,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings, key: s
     if n > settings.max_train:
         share = F.lit(1.05 * settings.max_train / n)
     sample = graded.withColumn("_u", hash_unit(F.col("_id"), settings.seed)).where(F.col("_u") <= share).orderBy("_u", "_id").limit(settings.max_train).select("_id", "_grade")
-    bits, most = settings.bits, settings.max_distinct
+    bits = settings.bits
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [buckets(t, bits) for t in batch.column(0).to_pylist()]
-            cut = []
-            for at, value in got:
-                if len(at) > most:
-                    keep = np.concatenate([np.argsort((at[:-7] * 2654435761) % 2**32, kind="stable")[: most - 7], np.arange(len(at) - 7, len(at))])
-                    at, value = at[keep], value[keep]
-                cut.append((at.astype("<i4").tobytes(), value.astype("<f4").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in cut], pa.binary()), pa.array([v for _, v in cut], pa.binary()), batch.column(1)], ["at", "value", "grade"])
+            yield pa.RecordBatch.from_arrays([pa.array([a.astype("<i4").tobytes() for a, _ in got], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in got], pa.binary()), batch.column(1)], ["at", "value", "grade"])
 
     rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(sample), "_id").select("_text", "_grade").mapInArrow(over, "at binary, value binary, grade int").collect()
     rows.sort(key=lambda r: (r.grade, bytes(r.at), bytes(r.value)))

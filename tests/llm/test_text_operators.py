@@ -236,6 +236,13 @@ def test_quality_edges(spark):
     assert quality.classify(docs.limit(0), odd).count() == 0
 
 
+def test_training_rows_are_whole(spark):
+    texts = [" ".join(f"w{i}" for i in range(n)) for n in (5000, 40)]
+    rows, grades = quality.training_rows(spark.createDataFrame(list(enumerate(texts)), DOC), spark.createDataFrame([(0, 1, 0), (1, 0, 0)], "doc_id long, quality int, toxic int"), quality.Settings())
+    want = {g: quality.buckets(t, quality.Settings().bits)[0].tolist() for g, t in zip((2, 1), texts, strict=True)}
+    assert {int(g): at.tolist() for (at, _), g in zip(rows, grades, strict=True)} == want and len(want[2]) > 4500
+
+
 def test_thresholds_are_ordered():
     rng = np.random.default_rng(1)
     rows = [(np.array([i % 50, 60]), np.ones(2)) for i in range(300)]
