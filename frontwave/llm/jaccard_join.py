@@ -39,6 +39,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import bloom
 from .common import BATCH_ROWS, written
@@ -497,8 +498,8 @@ def link_counts(made: DataFrame, members: DataFrame, settings: JoinSettings, sid
     return written(spread.mapInArrow(over, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links")), "counts")
 
 
-def similar_classes(docs: DataFrame, settings: JoinSettings = JoinSettings(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, row, n_shingles, component_id (the least id of the component), n_links (the number of other classes that the document's class links with)."""
+def similar_classes(docs: DataFrame, settings: JoinSettings = JoinSettings(), key: str = "doc_id", text: str = "text", counted: bool = True) -> DataFrame:
+    """doc_id, row, n_shingles, component_id (the least id of the component), label (a component's number), and if ``counted`` n_links (the number of other classes that the document's class links with)."""
     spark = docs.sparkSession
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     every = profiles(docs, settings)
@@ -528,15 +529,18 @@ def similar_classes(docs: DataFrame, settings: JoinSettings = JoinSettings(), ke
         merged = _merged(labels, found)
         if merged is not None:
             labels = merged
+    placed = every.select("doc_id", "row", "n", "digest").join(classes, "digest", "left").withColumn("rep", F.coalesce("first", "row"))
+    placed = placed.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    least = placed.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1").select("label", "least")
+    columns = ["doc_id", "row", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "label"]
+    if not counted:
+        return placed.join(least, "label", "left").select(*columns)
     whole = labels.join(long.select(F.col("row").alias("node")), "node", "left_semi").select("label").distinct()
     members = written(labels.join(whole, "label", "left_semi").select("node", "label"), "members")
     rest = links.join(members.select(F.col("node").alias("a")), "a", "left_anti")
     degree = rest.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
     degree = degree.unionByName(link_counts(made, members, settings))
-    placed = every.select("doc_id", "row", "n", "digest").join(classes, "digest", "left").withColumn("rep", F.coalesce("first", "row"))
-    placed = placed.join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    least = placed.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1").select("label", "least")
-    return placed.join(least, "label", "left").select("doc_id", "row", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    return placed.join(degree, "rep", "left").join(least, "label", "left").select(*columns, F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def _merged(labels: DataFrame, found: DataFrame) -> DataFrame | None:
@@ -560,12 +564,29 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pipeline's stage: the document of the least id of each class of similar texts stays (five words, 0.8)."""
-    found = written(similar_classes(docs), "classes")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    twice = found.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id")
+    """The pipeline's stage: one document of each class of similar texts stays (five words, 0.8), that of the least id.
+
+    It is chosen by row, not by id: null ids come last, of equal ids the row of the least number stays, and of repeated rows
+    the one of the least text. Texts without words are similar to nothing and all stay.
+    """
+    found = written(similar_classes(docs, counted=False), "classes")
+    stays = found.where("n_shingles > 0").groupBy("label").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("_row"), F.count(F.lit(1)).alias("c"))
+    stays = written(stays.select("label", "_row", "c"), "stays")
+    classes = found.where("n_shingles > 0").join(stays.where("c > 1"), "label")
+    gone = classes.where("row <> _row").select(F.col("row").alias("_row")).distinct()
+    twice = classes.where("row = _row").groupBy("_row").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("_row")
+    size, names = JoinSettings().words, docs.columns
+    at, text = names.index("doc_id"), names.index("text")
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [_row_key(i, _digest(gram_set(t, size))) for i, t in zip(batch.column(at).to_pylist(), batch.column(text).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.int64())], [*names, "_row"])
+
+    _batches(spark, BATCH_ROWS)
+    kept = docs.mapInArrow(over, T.StructType([*docs.schema.fields, T.StructField("_row", T.LongType())])).join(gone, "_row", "left_anti")
     if twice.isEmpty():
-        return kept.select(*docs.columns)
-    again = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(again.select(*docs.columns))
+        return kept.select(*names)
+    kept = written(kept, "kept")
+    again = kept.join(twice, "_row", "left_semi").groupBy("_row").agg(F.min_by(F.struct(*names), "text").alias("_doc")).select("_doc.*")
+    return kept.join(twice, "_row", "left_anti").select(*names).unionByName(again)

@@ -158,6 +158,14 @@ def test_one_of_each(spark):
     assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [1, 3, 4]
 
 
+def test_one_of_each_by_row(spark):
+    one, two, three = "a b c d e f g", "h i j k l m n", "o p q r s t u"
+    texts = [(1, one), (2, one), (2, two), (None, one), (None, three), (None, three + "  "), (5, "p o n m l k"), (5, "q w e r t y"), (None, ""), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], FULL)
+    got = sorted((str(r.doc_id), r.text) for r in jaccard_join.one_of_each(spark, docs, "").collect())
+    assert got == [("1", one), ("2", two), ("5", "p o n m l k"), ("5", "q w e r t y"), ("None", ""), ("None", ""), ("None", three)]
+
+
 def test_components(spark):
     rng = random.Random(7)
     pairs = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(30)]
