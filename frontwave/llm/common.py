@@ -4,22 +4,47 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch handed to Python. Texts may hold 100,000 characters, so batches stay short.
-BATCH_ROWS = 512
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A whole input table, read by Spark only (the folder may be in a store that Python cannot open)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of Python workers by the rows of a batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def parts(batch: pa.RecordBatch, column: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose values in a string or binary column are about ``most`` bytes together, or one row: what a function makes of one is bounded, whatever the batch (Spark bounds that by its bytes)."""
+    size = np.frombuffer(pc.fill_null(pc.binary_length(batch.column(column)), 0).cast(pa.int64()).buffers()[1], np.int64, batch.num_rows) if batch.num_rows else np.empty(0, np.int64)
+    ends, first = np.cumsum(size + 64), 0
+    while first < batch.num_rows:
+        end = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, side="right")))
+        yield batch.slice(first, end - first)
+        first = end
+
+
+def bounded(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The :func:`parts` of all batches."""
+    for batch in batches:
+        yield from parts(batch, column, most)
+
+
+def table_of_texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of a column of texts, end to end, and where each text begins (and the end). A null is empty."""
+    if column.null_count:
+        column = pc.fill_null(column, "")
+    wide = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
+    _, ends, data = column.buffers()
+    if not len(column):
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
+    bounds = np.frombuffer(ends, wide, len(column) + 1, column.offset * np.dtype(wide).itemsize).astype(np.int64)
+    every = np.empty(0, np.uint8) if data is None else np.frombuffer(data, np.uint8)
+    return every[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -6,12 +6,31 @@ is written to the shared folder, so the plan stays short and lost executors cost
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_scratch, written
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (a, b), as few as span them all."""
+    if not len(a):
+        return a, b
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    pairs = np.unique(at[: len(a)] * len(nodes) + at[len(a) :])
+    root, keep = list(range(len(nodes))), []
+    for k, (i, j) in enumerate(zip((pairs // len(nodes)).tolist(), (pairs % len(nodes)).tolist(), strict=True)):
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        while root[j] != j:
+            root[j] = j = root[root[j]]
+        if i != j:
+            root[max(i, j)] = min(i, j)
+            keep.append(k)
+    return nodes[pairs[keep] // len(nodes)], nodes[pairs[keep] % len(nodes)]
+
+
 def _to_least(edges: DataFrame, only_larger: bool) -> DataFrame:
     """Connect the neighbours of each node (its larger ones, or its smaller ones and itself) to the least of its neighbourhood."""
     if only_larger:
@@ -38,4 +57,6 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         before = now
     else:
         raise RuntimeError("the components did not settle")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
+    out = written(edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct(), "labels")
+    drop_scratch(spark, edges)
+    return out

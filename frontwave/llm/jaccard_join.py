@@ -3,29 +3,29 @@
 1. ``profiles``: a document's words become a set of 64-bit n-gram hashes. Grams are put in one global order, rare ones
    first: by their count where they are frequent, then by hash. Counts come from all documents; a bounded table of the most
    frequent grams is all that ordering needs (a gram outside it is rare), and any order gives the same result.
-2. Documents of equal sets form a class; its least row stands for it from here on, so exact copies are never paired.
-3. Each representative's prefix (the grams one of which every similar set must share) is dealt by gram. Within a gram's
-   list, sorted by set size, pairs must pass the length filter and the positional filter. A long list pairs each row only
-   with the shortest row still within the length bound and with its neighbour; such lists are looked at again in 6.
-4. Suffix filter: the sets are cut into 64 ranges of the hash space and the ranges' counts are compared, whose difference
-   bounds the symmetric difference from below. Distinct pairs that pass are verified once, by their whole sets.
-5. Components of the links, by star rounds.
-6. Long lists whose rows are in more than one component are looked at again, in rounds: each row outside the list's
-   largest component meets the list's rows of other components, in blocks, under the same filters (the suffix filter too, before
-   a pair is emitted), and those of the nearest few of each component that were not tested yet are verified. The number taken
-   grows eightfold each round, links merge components, and the rounds end when no row had more passing partners in a component
-   than were taken, tested or not. So no link between different components can be missing, and the components are exact, but
-   copies are not expanded into all pairs.
-7. Links are counted exactly. Where all shared lists were short, every pair was verified; a component with a row of a long
-   list is counted as a whole, all its pairs, in blocks of whole sets (``link_counts``), of which only a sum for each row leaves.
-
-Hash collisions: sets are compared by 64-bit hashes of grams, equal sets by 128-bit digests.
+2. Documents of equal sets are one node, so exact copies are never paired; a task hands on a node's prefix once.
+3. Each node's prefix (the grams one of which every similar set must share) is joined by gram, for the grams that more than
+   one node has, which are found by an aggregation that combines before the shuffle. Within a gram's list, sorted by set
+   size, pairs must pass the length, positional and suffix filters: the last cuts the hash space into ranges and compares
+   the sets' counts in them, whose difference bounds the symmetric difference from below. What leaves a list is not its
+   pairs but a forest that spans them, so that the rows made grow with the lists and not with their squares.
+4. In a list of more than ``window`` nodes, each meets only the last ``window`` before it, under looser filters. Lists whose
+   nodes are then in more than one group are looked at again: every node outside the list's largest group meets all nodes
+   of other groups, in blocks, under the strict filters (``cross_edges``). So two nodes that pass the filters in any
+   list are in one group, whatever its length.
+5. Each pair of a group is verified once, by whole sets, in blocks (``block_links``); a block gives the number of links of
+   each node and a forest that spans its links. Pairs never leave a block: copies are not expanded into pairs, yet the
+   numbers of links are exact.
+6. Components of the links, by star rounds.
+
+Hash collisions: sets are compared by 64-bit hashes of grams, equal sets are known by a 64-bit digest of these.
 
 Defined results: a null or empty text, or one without words, has the empty set, 0 grams, and is linked with nothing; with
-fewer words than a gram needs, the whole sequence is the one gram; repeated rows and equal texts are one class; rows with a
-null id take part, and a component whose ids are all null has a null id; an empty table gives an empty table; extra
-columns are not carried. A hot gram, class or component is never in one task as a whole: classes and components meet in
-aggregations with map-side minima, lists are streamed, and a pair's centre is dealt to as many tasks as its partners need.
+fewer words than a gram needs, the whole sequence is the one gram; very long texts are read whole, one at a time; repeated
+rows and equal texts are one node; rows with a null id take part, and a component whose ids are all null has a null id; an
+empty table gives an empty table; extra columns are not carried. A hot gram, set or component is never in one task as a
+whole: equal sets meet in aggregations with map-side minima, a long list is dealt to as many tasks as its length needs, a
+component to as many as its blocks.
 """
 
 from __future__ import annotations
@@ -37,40 +37,50 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bloom
-from .common import BATCH_ROWS, written
-from .components import components
+from .common import drop_scratch, parts, table_of_texts, written
+from .components import components, forest
 
 U = np.uint64
-_RANGES = 64
+_LONG_WORD = 4096
 
 
 @dataclass(frozen=True)
 class JoinSettings:
-    """Two sets link when ``den * intersection >= num * union``. ``heavy`` bounds the table of frequent grams; ``long_list`` the lists paired at once; the Bloom filter has ``2**bloom_bits`` bits."""
+    """Two sets link when ``den * intersection >= num * union``. ``heavy`` bounds the table of frequent grams; lists of more than ``window`` + 1 nodes are long, and dealt in parts of about ``part`` nodes; the Bloom filter has ``2**bloom_bits`` bits."""
 
     words: int = 5
     num: int = 80
     den: int = 100
     heavy: int = 65_536
     heavy_least: int = 8
-    long_list: int = 48
+    window: int = 48
+    looser: int = 10
+    part: int = 65_536
     bloom_bits: int = 25
 
-    def overlap(self, n):
+    def overlap(self, n, looser: int = 0):
         """Least intersection of two linked sets whose sizes sum to ``n``."""
-        return -(-self.num * n // (self.num + self.den))
+        num = self.num - looser
+        return -(-num * n // (num + self.den))
 
-    def prefix(self, n: int) -> int:
+    def prefix(self, n):
         return n - -(-self.num * n // self.den) + 1
 
 
-_WORDS: dict[bytes, int] = {}
+# ---- sets
+
+
 _COEFFICIENTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], U)
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -79,39 +89,83 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(33))
 
 
-def gram_set(text: str | None, size: int) -> np.ndarray:
-    """The distinct n-gram hashes of a text, sorted. ``bytes.lower`` and ``bytes.split`` know A-Z and ASCII white space only."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, U)
-    known = _WORDS
-    if len(known) > 600_000:
-        known.clear()
-    try:
-        h = np.array([known[w] for w in words], U)
-    except KeyError:
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.array([known[w] for w in words], U)
-    n = min(size, len(words))
-    last = len(words) - n + 1
-    total = h[:last] * _COEFFICIENTS[0]
-    for i in range(1, n):
-        total = total + h[i : i + last] * _COEFFICIENTS[i % 8] * U(2 * (i // 8) + 1)
-    return np.unique(_mix(total + U(n)))
+def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of texts that lie end to end, with A-Z folded, and the place of each text's first word among them (and of the end). Words are read eight bytes at a time."""
+    n = len(data)
+    gap = np.ones(n + 1, bool)
+    gap[:n] = _SPACE[data]
+    edge = np.zeros(n + 1, bool)
+    edge[bounds] = True
+    before = np.concatenate([[True], gap[:n]]) | edge
+    begin = np.flatnonzero(~gap & before)
+    stop = np.flatnonzero(~gap[:n] & (gap[1:] | edge[1:])) + 1
+    folded = np.zeros(n + 8, np.uint8)
+    folded[:n] = _FOLD[data]
+    eight = np.ndarray((n + 1,), "<u8", folded, 0, (1,))
+    length = stop - begin
+    h = _mix((eight[begin] & _MASK[np.minimum(length, 8)]) + length.astype(U) * _COEFFICIENTS[0])
+    more, at = np.flatnonzero((length > 8) & (length <= _LONG_WORD)), 8
+    while len(more):
+        h[more] = _mix(h[more] * _COEFFICIENTS[1] ^ eight[begin[more] + at] & _MASK[np.minimum(length[more] - at, 8)])
+        at += 8
+        more = more[length[more] > at]
+    for i in np.flatnonzero(length > _LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(folded[begin[i] : stop[i]])
+    return h, np.searchsorted(begin, bounds)
+
+
+def gram_sets(data: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-gram hashes of each text, sorted, end to end, and where each text's begin (and the end)."""
+    h, first = word_hashes(data, bounds)
+    words = np.diff(first)
+    short = np.flatnonzero((words > 0) & (words < size))
+    made = np.where(words >= size, words - size + 1, (words > 0).astype(np.int64))
+    at = np.concatenate([[0], np.cumsum(made)])
+    flat, whole = np.empty(at[-1], U), np.ones(at[-1], bool)
+    whole[at[short]] = False
+    last = len(h) - size + 1
+    weights = _COEFFICIENTS[np.arange(size) % 8] * (2 * (np.arange(size) // 8) + 1).astype(U)
+    if last > 0:
+        text = np.repeat(np.arange(len(words)), words)
+        total = h[:last] * weights[0]
+        for i in range(1, size):
+            total += h[i : i + last] * weights[i]
+        flat[whole] = _mix(total[text[:last] == text[size - 1 :]] + U(size))
+    for t in short.tolist():
+        n = int(words[t])
+        flat[at[t]] = _mix((h[first[t] : first[t] + n] * weights[:n]).sum(keepdims=True, dtype=U) + U(n))[0]
+    ends = at.tolist()
+    for a, b in zip(ends, ends[1:], strict=False):
+        if b - a > 1:
+            flat[a:b].sort()
+    keep = np.ones(len(flat), bool)
+    keep[1:] = flat[1:] != flat[:-1]
+    keep[at[:-1][made > 0]] = True
+    return flat[keep], np.concatenate([[0], np.cumsum(keep)])[at]
 
 
-def _row_key(doc_id, digest: bytes) -> int:
-    """A row's number: rows of one id and one set are one node."""
-    return xxhash.xxh3_64_intdigest(repr(doc_id).encode() + digest) >> 1
+def gram_set(text: str | None, size: int) -> np.ndarray:
+    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    return gram_sets(data, np.array([0, len(data)]), size)[0]
 
 
 def _digest(grams: np.ndarray) -> bytes:
-    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
+    return hashlib.blake2b(grams, digest_size=16).digest()
+
 
+def _node(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True)
 
-def _batches(spark: SparkSession, rows: int) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+def _row_key(doc_id, digest: bytes) -> int:
+    """A row's number: rows of one id and one set are one."""
+    return xxhash.xxh3_64_intdigest(repr(doc_id).encode() + digest) >> 1
+
+
+def _ranges(grams: np.ndarray) -> bytes:
+    """How many grams are in each of 16 to 4096 equal ranges of the hash space, two to four of them a range, 255 at most."""
+    bits = min(12, max(4, (max(1, len(grams) // 4)).bit_length()))
+    return np.minimum(np.bincount((grams >> U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
 def frequent_grams(docs: DataFrame, settings: JoinSettings) -> tuple[np.ndarray, np.ndarray]:
@@ -129,279 +183,252 @@ def frequent_grams(docs: DataFrame, settings: JoinSettings) -> tuple[np.ndarray,
 
         def fold() -> None:
             nonlocal grams, counts, held
-            new, c = np.unique(np.concatenate(waiting), return_counts=True)
+            every = np.sort(np.concatenate(waiting))
             waiting.clear()
             held = 0
-            every, back = np.unique(np.concatenate([grams, new]), return_inverse=True)
-            total = np.bincount(back, np.concatenate([counts, c]), len(every)).astype(np.int64)
-            many = total > 1
-            grams, counts = every[many], total[many]
+            starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.empty(0, np.int64)
+            c = np.diff(np.concatenate([starts, [len(every)]]))
+            known = np.isin(every[starts], grams, assume_unique=True) | (c > 1)
+            every, back = np.unique(np.concatenate([grams, every[starts][known]]), return_inverse=True)
+            counts = np.bincount(back, np.concatenate([counts, c[known]]), len(every)).astype(np.int64)
+            grams = every
             if len(grams) > 4 * most:
                 top = np.argpartition(-counts, 4 * most)[: 4 * most]
                 top.sort()
                 grams, counts = grams[top], counts[top]
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                waiting.append(gram_set(text, size))
+            for part in parts(batch, 0):
+                waiting.append(gram_sets(*table_of_texts(part.column(0)), size)[0])
                 held += len(waiting[-1])
-            if held > 4_000_000:
-                fold()
+                if held > 4_000_000:
+                    fold()
         if waiting:
             fold()
         yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(counts)], ["gram", "n"])
 
-    _batches(docs.sparkSession, BATCH_ROWS)
     sums = docs.mapInArrow(over, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= settings.heavy_least)
-    top = sums.orderBy(F.col("n").desc(), "gram").limit(most).toPandas()
-    grams, counts = top["gram"].to_numpy(np.int64).view(U), top["n"].to_numpy(np.int64)
+    top = sums.orderBy(F.col("n").desc(), "gram").limit(most).toArrow()
+    grams, counts = top["gram"].to_numpy().view(U), top["n"].to_numpy()
     order = np.argsort(grams)
     return grams[order], counts[order]
 
 
-def _ordered(grams: np.ndarray, heavy: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """A set in the global order."""
-    if not len(heavy) or not len(grams):
-        return grams
-    at = np.minimum(np.searchsorted(heavy, grams), len(heavy) - 1)
-    weight = np.where(heavy[at] == grams, counts[at], 0)
-    return grams[np.argsort(weight, kind="stable")] if weight.any() else grams
-
-
 def profiles(docs: DataFrame, settings: JoinSettings) -> DataFrame:
-    """doc_id, row, n, digest, ranges, prefix of every document."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(frequent_grams(docs.select("text"), settings))
+    """doc_id, row, node, n, ranges, prefix of every document; the last two are null where the task gave them for the same set before."""
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast(frequent_grams(docs.select("text"), settings))
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, counts = shared.value
+        seldom = np.ones(1 << 20, bool)
+        seldom[heavy >> U(44)] = False
+        seen: set[int] = set()
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            row, n, digest, ranges, prefix = [], [], [], [], []
-            for i, text in zip(ids, batch.column(1).to_pylist(), strict=True):
-                grams = gram_set(text, settings.words)
-                d = _digest(grams)
-                row.append(_row_key(i, d))
-                n.append(len(grams))
-                digest.append(d)
-                ranges.append(np.minimum(np.bincount((grams >> U(58)).astype(np.int64), minlength=_RANGES), 255).astype(np.uint8).tobytes())
-                prefix.append(_ordered(grams, heavy, counts)[: settings.prefix(len(grams)) if len(grams) else 0].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(row, pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(ranges, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "row", "n", "digest", "ranges", "prefix"])
-
-    _batches(spark, BATCH_ROWS)
-    return written(docs.mapInArrow(over, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row long, n long, digest binary, ranges binary, prefix array<long>"), "profiles")
-
-
-def list_pairs(postings: DataFrame, settings: JoinSettings) -> DataFrame:
-    """(a, b, gram): pairs of rows that share a prefix gram and pass the length and positional filters, a the shorter; and (null, null, gram) for a long list.
-
-    Postings are dealt by gram and sorted by size within it; a list is streamed, and only its last few rows are held.
-    """
-    long_list, num, den = settings.long_list, settings.num, settings.den
-
-    def pairs(n, pos, row, i, j):
-        need = settings.overlap(n[i] + n[j])
-        fits = (n[i] * den >= num * n[j]) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need) & (row[i] != row[j])
-        return row[i[fits]], row[j[fits]]
-
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(found, long) -> pa.RecordBatch:
-            a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
-            keep = np.unique(np.stack([a, b]), axis=1) if len(a) else np.empty((2, 0), np.int64)
-            none = [None] * len(long)
-            return pa.RecordBatch.from_arrays([pa.array([*keep[0].tolist(), *none], pa.int64()), pa.array([*keep[1].tolist(), *none], pa.int64()), pa.array([*[None] * keep.shape[1], *long], pa.int64())], ["a", "b", "gram"])
-
-        held = [np.empty(0, np.int64)] * 4  # rows of a list that may go on
-        head = None  # of a long list that goes on: its gram, and the row that later rows are paired with
-        for batch in batches:
-            gram, n, row, pos = (np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held))
-            starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-            sizes = np.diff(np.concatenate([starts, [len(gram)]]))
-            last, found, long = int(starts[-1]), [], []
-            # short lists: all pairs, by their distance in the list; the last list is not known to be short yet
-            size_of = np.repeat(sizes, sizes)
-            short = np.flatnonzero((size_of > 1) & (size_of <= long_list) & (np.arange(len(gram)) < last))
-            if head is not None:
-                short = short[gram[short] != head[0]]
-            step = 1
-            while len(short):
-                short = short[short + step < len(gram)]
-                short = short[gram[short + step] == gram[short]]
-                if len(short):
-                    found.append(pairs(n, pos, row, short, short + step))
-                step += 1
-            # long lists, and the going on of one
-            tail = len(gram) - last
-            for s, size in zip(starts.tolist(), sizes.tolist(), strict=True):
-                going = head is not None and head[0] == gram[s]
-                if not going and size <= long_list:
-                    continue
-                if not going:
-                    long.append(int(gram[s]))
-                hn, hp, hr = (np.concatenate([[h], x[s : s + size]]) if going else x[s : s + size] for h, x in zip(head[1:] if going else (0, 0, 0), (n, pos, row), strict=True))
-                m, first, heads = len(hn), 0, np.empty(len(hn), np.int64)
-                while first < m:  # a head serves the rows within its length bound
-                    end = int(np.searchsorted(hn, hn[first] * den // num, side="right"))
-                    heads[first:end] = first
-                    first = max(end, first + 1)
-                at = np.arange(m)
-                found += [pairs(hn, hp, hr, heads, at), pairs(hn, hp, hr, at[:-1], at[1:])]
-                head = (int(gram[s]), int(hn[heads[-1]]), int(hp[heads[-1]]), int(hr[heads[-1]]))
-            if head is not None and head[0] == gram[last]:
-                held = [x[:0] for x in (gram, n, row, pos)]
-            else:
-                held, head = [x[len(gram) - tail :] for x in (gram, n, row, pos)], None
-            if found or long:
-                yield out(found, long)
-        if len(held[0]):
-            at, found = np.arange(len(held[0])), []
-            for step in range(1, len(at)):
-                found.append(pairs(held[1], held[3], held[2], at[:-step], at[step:]))
-            if found:
-                yield out(found, [])
-
-    spread = postings.select("gram", "n", "row", "pos").repartition("gram").sortWithinPartitions("gram", "n", "row")
-    return spread.mapInArrow(over, "a long, b long, gram long")
-
-
-def suffix_filter(pairs: DataFrame, nodes: DataFrame, settings: JoinSettings) -> DataFrame:
-    """The pairs (a, b) whose ranges do not prove them too different."""
-    side = lambda c: nodes.select(F.col("row").alias(c), F.col("n").alias(f"n_{c}"), F.col("ranges").alias(f"r_{c}"))
-    num, den = settings.num, settings.den
+            for part in parts(batch, 1):
+                grams, at = gram_sets(*table_of_texts(part.column(1)), settings.words)
+                weight = np.zeros(len(grams), np.int64)
+                if len(heavy) and len(grams):
+                    maybe = np.flatnonzero(~seldom[grams >> U(44)])
+                    place = np.minimum(np.searchsorted(heavy, grams[maybe]), len(heavy) - 1)
+                    weight[maybe] = np.where(heavy[place] == grams[maybe], counts[place], 0)
+                row, node, ranges, prefix = [], [], [], []
+                for doc_id, a, b in zip(part.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    own, w = grams[a:b], weight[a:b]
+                    d = _digest(own)
+                    row.append(_row_key(doc_id, d))
+                    node.append(_node(d))
+                    if a == b or node[-1] in seen:
+                        ranges.append(None)
+                        prefix.append(None)
+                        continue
+                    if len(seen) >= 1_000_000:
+                        seen.clear()
+                    seen.add(node[-1])
+                    ranges.append(_ranges(own))
+                    prefix.append((own[np.argsort(w, kind="stable")] if w.any() else own)[: settings.prefix(b - a)].view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(row, pa.int64()), pa.array(node, pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(ranges, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "row", "node", "n", "ranges", "prefix"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    out = written(docs.select("doc_id", "text").mapInArrow(over, f"doc_id {kind}, row long, node long, n long, ranges binary, prefix array<long>"), "profiles")
+    shared.destroy()
+    return out
+
+
+# ---- candidates
+
+
+class Ranges:
+    """The range counts of some nodes, end to end."""
+
+    def __init__(self, rows: list[bytes]):
+        self.size = np.array([len(r) for r in rows], np.int64)
+        self.at = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(rows), np.uint8)
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """A lower bound of each pair's symmetric difference; the finer of two divisions is folded to the other's."""
+        out = np.zeros(len(i), np.int64)
+        kinds = self.size[i] * 8192 + self.size[j]
+        for kind in np.unique(kinds).tolist():
+            x, y = divmod(kind, 8192)
+            own, z = np.flatnonzero(kinds == kind), min(x, y)
+            for lo in range(0, len(own), max(1, (1 << 21) // max(x, y))):
+                k = own[lo : lo + max(1, (1 << 21) // max(x, y))]
+                a, b = (self.data[self.at[e[k], None] + np.arange(w)] for e, w in ((i, x), (j, y)))
+                a, b = (v.reshape(len(k), z, -1).sum(axis=2, dtype=np.int32) if v.shape[1] > z else v.astype(np.int32) for v in (a, b))
+                out[k] = np.abs(a - b).sum(axis=1)
+        return out
+
+
+def _passes(n, pos, ranges: Ranges, i, j, settings: JoinSettings, looser: int = 0) -> np.ndarray:
+    """Which pairs pass the length, positional and suffix filters."""
+    least = settings.overlap(n[i] + n[j], looser)
+    fits = (np.minimum(n[i], n[j]) * settings.den >= np.maximum(n[i], n[j]) * (settings.num - looser)) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least)
+    at = np.flatnonzero(fits)
+    fits[at] = ranges.apart(i[at], j[at]) <= n[i[at]] + n[j[at]] - 2 * least[at]
+    return fits
+
+
+def shared_lists(every: DataFrame) -> DataFrame:
+    """gram, node, n, pos, c, ranges: the postings of the grams that more than one node has in its prefix; c is their number."""
+    first = every.where("prefix is not null")
+    postings = first.select("node", "n", F.posexplode("prefix").alias("pos", "gram"))
+    counts = postings.groupBy("gram").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi").select("gram", "c")
+    slim = written(postings.join(counts, "gram").select("gram", "node", "n", "pos", "c"), "lists")
+    ranges = first.join(slim.select("node").distinct(), "node", "left_semi").select("node", "ranges").dropDuplicates(["node"])
+    out = written(slim.join(ranges, "node"), "lists")
+    drop_scratch(every.sparkSession, slim)
+    return out
+
+
+def near_edges(lists: DataFrame, settings: JoinSettings) -> DataFrame:
+    """(a, b): a forest that spans the pairs of nodes that pass the filters, of short lists all, of long ones those within a window, under looser filters."""
+    window = settings.window
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            na, nb = (batch.column(i).to_numpy() for i in (2, 4))
-            ra, rb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, _RANGES).astype(np.int64) for i in (3, 5))
-            apart = np.abs(ra - rb).sum(axis=1)
-            keep = apart <= na + nb - 2 * -(-num * (na + nb) // (num + den))
-            yield batch.select([0, 1]).filter(pa.array(keep))
+            for lo in range(0, batch.num_rows, 8192):
+                own = pa.Table.from_batches([batch.slice(lo, 8192)])
+                own = own if held is None else pa.concat_tables([held, own])
+                gram, part, n, node, pos, c = (own.column(i).to_numpy() for i in range(6))
+                ranges = Ranges(own.column(6).to_pylist())
+                group = np.cumsum(np.concatenate([[False], (gram[1:] != gram[:-1]) | (part[1:] != part[:-1])]))
+                first, found = np.arange(len(gram)), []
+                for step in range(1, window + 1):
+                    first = first[first + step < len(gram)]
+                    first = first[group[first + step] == group[first]]
+                    if not len(first):
+                        break
+                    i, j = first[node[first] != node[first + step]], first[node[first] != node[first + step]] + step
+                    for some, looser in ((c[i] <= window + 1, 0), (c[i] > window + 1, settings.looser)):
+                        k = np.flatnonzero(some)
+                        k = k[_passes(n, pos, ranges, i[k], j[k], settings, looser)]
+                        found.append((node[i[k]], node[j[k]]))
+                a, b = forest(*(np.concatenate(x) for x in zip(*found, strict=True))) if found else (np.empty(0, np.int64),) * 2
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                held = own.slice(max(int(np.searchsorted(group, group[-1])), len(gram) - window))
+
+    dealt = lists.select("gram", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / settings.part)).alias("part"), "n", "node", "pos", "c", "ranges")
+    return dealt.repartition("gram", "part").sortWithinPartitions("gram", "part", "n", "node").mapInArrow(over, "a long, b long")
+
+
+def cross_edges(long: DataFrame, labels: DataFrame, settings: JoinSettings, side: int = 4096) -> DataFrame | None:
+    """(a, b): a forest that spans the groups of which two nodes pass the filters in some long list; None where each list is of one group.
+
+    Nodes outside their list's largest group meet those of other groups, by bands of size, in blocks of about ``side`` by ``side``.
+    """
+    step = F.log(F.lit(settings.den / settings.num))
+    named = long.join(labels, "node", "left").select("gram", "n", "node", "pos", "ranges", F.coalesce("label", "node").alias("label"), F.floor(F.log("n") / step).cast("long").alias("band"))
+    sizes = named.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("c"))
+    largest = written(sizes.groupBy("gram").agg(F.max_by("label", F.struct("c", "label")).alias("largest"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("gram", "largest"), "mixed")
+    if largest.isEmpty():
+        return None
+    columns = ["n", "pos", "label", "ranges"]
+    own = written(named.join(largest, "gram").select("gram", "band", "node", *columns, "largest"), "mixed")
+    rest = own.where("label <> largest").select("gram", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "node", *columns)
+    number = lambda df, name: df.groupBy("gram", "band").agg(F.ceil(F.count(F.lit(1)) / side).alias(name))
+    blocks = number(own, "of_all").join(number(rest, "of_rest"), ["gram", "band"])
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    dealt = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    inner = own.join(blocks, ["gram", "band"]).select("gram", "band", dealt("of_all").alias("x"), spread("of_rest").alias("y"), F.lit(False).alias("outer"), *columns)
+    outer = rest.join(blocks, ["gram", "band"]).select("gram", "band", spread("of_all").alias("x"), dealt("of_rest").alias("y"), F.lit(True).alias("outer"), *columns)
 
-    _batches(pairs.sparkSession, 16_384)
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "r_a", "n_b", "r_b")
-    return written(joined.mapInArrow(over, "a long, b long"), "candidates")
+    def met(rows: list[tuple]) -> pa.RecordBatch:
+        n, pos, label = (np.array([r[i] for r in rows], np.int64) for i in (5, 6, 7))
+        ranges, out = Ranges([r[8] for r in rows]), np.array([r[4] for r in rows], bool)
+        every, found = np.flatnonzero(~out), set()
+        for i in np.flatnonzero(out).tolist():
+            at = every[label[every] != label[i]]
+            at = at[_passes(n, pos, ranges, np.full(len(at), i), at, settings)]
+            found |= {(int(label[i]), k) for k in np.unique(label[at]).tolist()}
+        a, b = forest(*np.array(sorted(found), np.int64).reshape(-1, 2).T)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
+    spread_out = inner.unionByName(outer).repartition("gram", "band", "x", "y").sortWithinPartitions("gram", "band", "x", "y")
+    return spread_out.mapInArrow(_by_group(4, met), "a long, b long")
 
-def sets_of(docs: DataFrame, rows: DataFrame, settings: JoinSettings) -> DataFrame:
-    """row, grams: the whole sets of the rows in question, made again from the texts.
 
-    The scan passes over all others by a Bloom filter of fixed size (a row let through by mistake finds no pair).
-    """
-    spark = docs.sparkSession
-    bits, size = settings.bloom_bits, settings.words
-    shared = spark.sparkContext.broadcast(bloom.build(rows, "row", bits))
+def _by_group(keys: int, made):
+    """A function for ``mapInArrow`` over rows sorted by their first ``keys`` columns: ``made`` of the rows of each group."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for batch in batches:
-            made = [gram_set(text, size) for text in batch.column(1).to_pylist()]
-            keys = np.array([_row_key(i, _digest(g)) for i, g in zip(batch.column(0).to_pylist(), made, strict=True)], np.int64)
-            keep = np.flatnonzero(bloom.may_hold(shared.value, keys, bits)) if len(keys) else []
-            yield pa.RecordBatch.from_arrays([pa.array(keys[keep], pa.int64()), pa.array([made[i].tobytes() for i in keep], pa.binary())], ["row", "grams"])
+            for lo in range(0, batch.num_rows, 256):
+                some = batch.slice(lo, 256)
+                for r in zip(*(some.column(i).to_pylist() for i in range(some.num_columns)), strict=True):
+                    if held and held[-1][:keys] != r[:keys]:
+                        yield made(held)
+                        held = []
+                    held.append(r)
+        if held:
+            yield made(held)
 
-    _batches(spark, BATCH_ROWS)
-    return written(docs.select("doc_id", "text").mapInArrow(over, "row long, grams binary").dropDuplicates(["row"]), "sets")
+    return over
 
 
-def verify(made: DataFrame, pairs: DataFrame, settings: JoinSettings, per_task: int = 2048) -> DataFrame:
-    """The pairs that link, by their whole sets. A centre's partners are dealt to tasks of ``per_task`` each, so a hot centre is spread."""
-    spark = pairs.sparkSession
-    num, den = settings.num, settings.den
+def groups(lists: DataFrame, settings: JoinSettings) -> DataFrame:
+    """(node, label) of the nodes that are a candidate with another; two nodes that pass the filters in a list have one label."""
+    labels = components(near_edges(lists, settings))
+    long = lists.where(F.col("c") > settings.window + 1)
+    more = None if long.isEmpty() else cross_edges(long, labels, settings)
+    if more is None:
+        return labels
+    moved = components(more)
+    every = labels.unionByName(moved.select("node", F.col("node").alias("label")).join(labels.select("node"), "node", "left_anti"))
+    step = moved.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return written(every.join(step, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
 
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre, own = None, np.empty(0, U)
-        for batch in batches:
-            a, b = [], []
-            for ca, _, cb, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                grams = np.frombuffer(raw, U)
-                if cb is None:
-                    centre, own = ca, grams
-                    continue
-                if ca != centre:
-                    raise ValueError("a centre's set is missing")
-                both = len(np.intersect1d(own, grams, assume_unique=True))
-                if den * both >= num * (len(own) + len(grams) - both):
-                    a.append(ca)
-                    b.append(cb)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    tasks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / per_task).alias("tasks"))
-    dealt = pairs.join(tasks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("tasks")).alias("part"))
-    members = dealt.join(made.withColumnRenamed("row", "b"), "b").select("a", "part", "b", "grams")
-    centres = tasks.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("part")).join(made.withColumnRenamed("row", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "grams")
-    rows = members.unionByName(centres).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    _batches(spark, 256)
-    return written(rows.mapInArrow(over, "a long, b long"), "links")
-
-
-def cross_pairs(lists: DataFrame, labels: DataFrame, settings: JoinSettings, take: int, side: int = 4096) -> DataFrame:
-    """(a, b): for each row outside its list's largest component, the ``take`` nearest rows of each other component among those that pass all filters; and (null, null) if some row had more than ``take`` in a component.
-
-    ``lists`` has gram, n, row, pos, ranges, band. Rows meet by gram and band of size, in blocks of about ``side`` by ``side`` rows.
-    """
-    num, den = settings.num, settings.den
-    named = labels.withColumnRenamed("node", "row")
-    slim = lists.select("gram", "row").join(named, "row", "left").select("gram", F.coalesce("label", "row").alias("label"))
-    sizes = slim.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("c"))
-    largest = sizes.groupBy("gram").agg(F.max_by("label", F.struct("c", "label")).alias("largest"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("gram", "largest")
-    # only lists of several components go on with their ranges
-    own = lists.join(largest, "gram").join(named, "row", "left").select("gram", "band", "n", "row", "pos", F.coalesce("label", "row").alias("label"), "ranges", "largest")
-    rest = own.where("label <> largest").select("gram", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "n", "row", "pos", "label", "ranges")
-    blocks = own.groupBy("gram", "band").agg(F.ceil(F.count(F.lit(1)) / side).alias("of_all")).join(rest.groupBy("gram", "band").agg(F.ceil(F.count(F.lit(1)) / side).alias("of_rest")), ["gram", "band"])
-    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    dealt = lambda n: F.pmod(F.xxhash64("row"), F.col(n))
-    columns = ["n", "row", "pos", "label", "ranges"]
-    every = own.join(blocks, ["gram", "band"]).select("gram", "band", dealt("of_all").alias("x"), spread("of_rest").alias("y"), F.lit(False).alias("outer"), *columns)
-    outer = rest.join(blocks, ["gram", "band"]).select("gram", "band", spread("of_all").alias("x"), dealt("of_rest").alias("y"), F.lit(True).alias("outer"), *columns)
 
-    def near(rows: list[tuple]) -> tuple[set[tuple[int, int]], bool]:
-        found: set[tuple[int, int]] = set()
-        more = False
-        outer = [r for r in rows if r[4]]
-        every = [r for r in rows if not r[4]]
-        if not outer or not every:
-            return found, more
-        n, row, pos, label = (np.array([r[i] for r in every], np.int64) for i in (5, 6, 7, 8))
-        ranges = np.frombuffer(b"".join(r[9] for r in every), np.uint8).reshape(-1, _RANGES).astype(np.int16)
-        for _, _, _, _, _, m, r, q, k, raw in outer:
-            least = settings.overlap(n + m)
-            at = np.flatnonzero((label != k) & (np.minimum(n, m) * den >= np.maximum(n, m) * num) & (np.minimum(n - pos, m - q) >= least))
-            if not len(at):
-                continue
-            apart = np.abs(ranges[at] - np.frombuffer(raw, np.uint8).astype(np.int16)).sum(axis=1)
-            fits = apart <= n[at] + m - 2 * least[at]
-            at, apart = at[fits], apart[fits]
-            order = np.lexsort((row[at], apart, label[at]))
-            at = at[order]
-            first = np.flatnonzero(np.concatenate([[True], label[at][1:] != label[at][:-1]])) if len(at) else np.empty(0, np.int64)
-            place = np.arange(len(at)) - np.repeat(first, np.diff(np.concatenate([first, [len(at)]])))
-            more |= bool((place >= take).any())
-            for j in at[place < take].tolist():
-                x, y = (m, r), (int(n[j]), int(row[j]))
-                found.add((x[1], y[1]) if x < y else (y[1], x[1]))
-        return found, more
+# ---- verification
 
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
 
-        def out() -> pa.RecordBatch:
-            found, more = near(held)
-            both = [*sorted(found), *[(None, None)] * more]
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in both], pa.int64()), pa.array([x[1] for x in both], pa.int64())], ["a", "b"])
+def sets_of(docs: DataFrame, nodes: DataFrame, settings: JoinSettings) -> DataFrame:
+    """node, grams: the whole sets of the nodes in question, made again from the texts.
+
+    The scan passes over all others by a Bloom filter of fixed size (a set let through by mistake finds no group).
+    """
+    bits, size = settings.bloom_bits, settings.words
+    shared = docs.sparkSession.sparkContext.broadcast(bloom.build(nodes, "node", bits))
 
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            for r in zip(*(batch.column(i).to_pylist() for i in range(10)), strict=True):
-                if held and held[-1][:4] != r[:4]:
-                    yield out()
-                    held = []
-                held.append(r)
-        if held:
-            yield out()
+            for part in parts(batch, 0):
+                grams, at = gram_sets(*table_of_texts(part.column(0)), size)
+                ends = at.tolist()
+                keys = np.array([_node(_digest(grams[a:b])) for a, b in zip(ends, ends[1:], strict=False)], np.int64)
+                keep = [i for i in np.flatnonzero(bloom.may_hold(shared.value, keys, bits)).tolist() if ends[i] < ends[i + 1] and not (keys[i] in seen or seen.add(keys[i]))] if len(keys) else []
+                if len(seen) >= 1_000_000:
+                    seen.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(keys[keep], pa.int64()), pa.array([grams[ends[i] : ends[i + 1]].tobytes() for i in keep], pa.binary())], ["node", "grams"])
 
-    _batches(lists.sparkSession, 4096)
-    rows = every.unionByName(outer).repartition("gram", "band", "x", "y").sortWithinPartitions("gram", "band", "x", "y")
-    return rows.mapInArrow(over, "a long, b long").distinct()
+    out = written(docs.select("text").mapInArrow(over, "node long, grams binary").dropDuplicates(["node"]), "sets")
+    shared.destroy()
+    return out
 
 
 def tile_links(left: list[np.ndarray], right: list[np.ndarray], settings: JoinSettings, columns: int = 1024, pairs: int = 4_000_000) -> np.ndarray:
@@ -444,115 +471,98 @@ def tile_links(left: list[np.ndarray], right: list[np.ndarray], settings: JoinSe
     return settings.den * both >= settings.num * (nl[:, None] + nr[None, :] - both)
 
 
-def link_counts(made: DataFrame, members: DataFrame, settings: JoinSettings, side: int = 4096, most: int = 2_000_000, tile: int = 1024) -> DataFrame:
-    """rep, links: with how many rows of its component each row links. ``members`` has node, label.
+def _few_links(left: list[np.ndarray], right: list[np.ndarray], settings: JoinSettings) -> np.ndarray:
+    """:func:`tile_links` for a handful of sets."""
+    both = np.array([[len(np.intersect1d(a, b, assume_unique=True)) for b in right] for a in left], np.int64)
+    return settings.den * both >= settings.num * (np.array([len(a) for a in left])[:, None] + np.array([len(b) for b in right])[None, :] - both)
+
 
-    A component is cut into parts of about ``side`` rows and at most about ``most`` grams; each two parts meet in one block,
-    and a block is worked off in tiles. Pairs never leave a block.
+def _spanning(hit: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places (row, column) of links that span all links of a tile: breadth first, so that few of them are looked at twice."""
+    if len(hit) <= 16:
+        return np.nonzero(np.triu(hit, 1) if same else hit)
+    rows, columns, unseen = [], [], [np.ones(hit.shape[0], bool), np.ones(hit.shape[1], bool)]
+    sides = (hit, hit.T)
+    for start in range(hit.shape[0]):
+        if not unseen[0][start]:
+            continue
+        unseen[0][start] = False
+        waiting = [(0, start)]
+        while waiting:
+            side, at = waiting.pop()
+            other = side if same else 1 - side
+            new = np.flatnonzero(sides[side][at] & unseen[other])
+            unseen[other][new] = False
+            waiting += [(other, k) for k in new.tolist()]
+            own = np.full(len(new), at)
+            rows.append(new if side else own)
+            columns.append(own if side else new)
+    return np.concatenate(rows), np.concatenate(columns)
+
+
+def block_links(made: DataFrame, members: DataFrame, settings: JoinSettings, side: int = 4096, most: int = 2_000_000, tile: int = 1024) -> DataFrame:
+    """a, b, links: with how many nodes of its group each node a links (b is null), and links (a, b) that span all of the block (links is null). ``members`` has node, label.
+
+    A group is cut into parts of about ``side`` nodes and at most about ``most`` grams; each two parts meet in one block,
+    and a block is worked off in tiles. So each pair of a group is verified once.
     """
     num, den = settings.num, settings.den
-    sized = members.select(F.col("node").alias("row"), "label").join(made, "row").select("row", "label", "grams")
-    parts = sized.groupBy("label").agg(F.ceil(F.greatest(F.count(F.lit(1)) / side, F.sum(F.length("grams")) / (8 * most))).cast("long").alias("parts"))
-    dealt = sized.join(parts, "label").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")))
+    sized = members.join(made.select("node", F.length("grams").alias("bytes")), "node")
+    cut = sized.groupBy("label").agg(F.ceil(F.greatest(F.count(F.lit(1)) / side, F.sum("bytes") / (8 * most))).cast("long").alias("parts"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    dealt = sized.join(cut, "label").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    rows = met.select("label", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "row", "grams")
+    rows = met.select("label", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "node").join(made, "node").select("label", "x", "y", "part", "node", "grams")
 
     def tiles(held: list[tuple]) -> list[tuple[np.ndarray, list[np.ndarray]]]:
-        held = sorted(((r[4], np.frombuffer(r[5], U)) for r in held), key=lambda r: len(r[1]))
+        held = sorted(((r[4], np.frombuffer(r[5], U)) for r in held), key=lambda r: (len(r[1]), r[0]))
         return [(np.array([r for r, _ in held[i : i + tile]], np.int64), [g for _, g in held[i : i + tile]]) for i in range(0, len(held), tile)]
 
-    def block(held: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def block(held: list[tuple]) -> pa.RecordBatch:
         _, x, y = held[0][:3]
         left = tiles([r for r in held if r[3] == x])
         right = left if x == y else tiles([r for r in held if r[3] == y])
+        nodes, counts, spans = [], [], []
         for i, (a, own) in enumerate(left):
             for b, others in right[i:] if x == y else right:
                 if len(own[-1]) * den < num * len(others[0]) or len(others[-1]) * den < num * len(own[0]):
                     continue
-                hit = tile_links(own, others, settings)
+                hit = (_few_links if len(own) * len(others) <= 64 else tile_links)(own, others, settings)
                 if a is b:
                     np.fill_diagonal(hit, False)
-                    yield a, hit.sum(axis=1)
                 else:
-                    yield a, hit.sum(axis=1)
-                    yield b, hit.sum(axis=0)
-
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for row, n in block(held):
-                yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(n, pa.int64())], ["rep", "links"])
+                    nodes.append(b)
+                    counts.append(hit.sum(axis=0))
+                nodes.append(a)
+                counts.append(hit.sum(axis=1))
+                r, c = _spanning(hit, a is b)
+                spans.append((a[r], b[c]))
+        a, b = forest(*(np.concatenate(s) for s in zip(*spans, strict=True))) if spans else (np.empty(0, np.int64),) * 2
+        each, back = np.unique(np.concatenate(nodes), return_inverse=True) if nodes else (np.empty(0, np.int64), np.empty(0, np.int64))
+        total = np.bincount(back, np.concatenate(counts), len(each)).astype(np.int64) if nodes else back
+        none = lambda n: pa.nulls(n, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([each, a])), pa.concat_arrays([none(len(each)), pa.array(b)]), pa.concat_arrays([pa.array(total), none(len(a))])], ["a", "b", "links"])
 
-        for batch in batches:
-            for r in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if held and held[-1][:3] != r[:3]:
-                    yield from out()
-                    held = []
-                held.append(r)
-        if held:
-            yield from out()
-
-    _batches(made.sparkSession, 256)
     spread = rows.repartition("label", "x", "y").sortWithinPartitions("label", "x", "y")
-    return written(spread.mapInArrow(over, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links")), "counts")
+    return written(spread.mapInArrow(_by_group(3, block), "a long, b long, links long"), "found")
 
 
-def similar_classes(docs: DataFrame, settings: JoinSettings = JoinSettings(), key: str = "doc_id", text: str = "text", counted: bool = True) -> DataFrame:
-    """doc_id, row, n_shingles, component_id (the least id of the component), label (a component's number), and if ``counted`` n_links (the number of other classes that the document's class links with)."""
+def similar_classes(docs: DataFrame, settings: JoinSettings = JoinSettings(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, row, n_shingles, component_id (the least id of the component), label (a component's number), n_links (the number of other sets that the document's set links with)."""
     spark = docs.sparkSession
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     every = profiles(docs, settings)
-    classes = every.where("n > 0").groupBy("digest").agg(F.min("row").alias("first"), F.count_distinct("row").alias("rows")).where("rows > 1").select("digest", "first")
-    nodes = every.where("n > 0").join(classes, "digest", "left").where("first is null or first = row").select("row", "n", "ranges", "prefix").dropDuplicates(["row"])
-    nodes = written(nodes, "nodes")
-    postings = nodes.select("row", "n", F.posexplode("prefix").alias("pos", "gram"))
-    _batches(spark, 65_536)
-    lists = written(list_pairs(postings, settings), "pairs")
-    tested = suffix_filter(lists.where("a is not null").select("a", "b").distinct(), nodes, settings)
-    step = F.log(F.lit(settings.den / settings.num))
-    long = postings.join(lists.where("a is null").select("gram").distinct(), "gram").join(nodes.select("row", "ranges"), "row")
-    long = written(long.select("gram", "n", "row", "pos", "ranges", F.floor(F.log("n") / step).cast("long").alias("band")), "lists")
-    asked = tested.select(F.explode(F.array("a", "b")).alias("row")).unionByName(long.select("row")).distinct()
-    made = sets_of(docs, asked, settings)
-    links = verify(made, tested, settings)
-    labels = written(components(links), "labels")
-    take = 2
-    going = not long.isEmpty()
-    while going:
-        near = written(cross_pairs(long, labels, settings, take).join(tested, ["a", "b"], "left_anti"), "candidates")
-        going, more, take = not near.where("a is null").isEmpty(), near.where("a is not null"), 8 * take
-        if more.isEmpty():
-            continue
-        found = verify(made, more, settings)
-        tested, links = tested.unionByName(more), links.unionByName(found)
-        merged = _merged(labels, found)
-        if merged is not None:
-            labels = merged
-    placed = every.select("doc_id", "row", "n", "digest").join(classes, "digest", "left").withColumn("rep", F.coalesce("first", "row"))
-    placed = placed.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    lists = shared_lists(every)
+    members = groups(lists, settings)
+    made = sets_of(docs, members, settings)
+    found = block_links(made, members, settings)
+    for done in (lists, made):
+        drop_scratch(spark, done)
+    labels = components(found.where("b is not null").select("a", "b"))
+    degree = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    placed = every.select("doc_id", "row", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = placed.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1").select("label", "least")
-    columns = ["doc_id", "row", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "label"]
-    if not counted:
-        return placed.join(least, "label", "left").select(*columns)
-    whole = labels.join(long.select(F.col("row").alias("node")), "node", "left_semi").select("label").distinct()
-    members = written(labels.join(whole, "label", "left_semi").select("node", "label"), "members")
-    rest = links.join(members.select(F.col("node").alias("a")), "a", "left_anti")
-    degree = rest.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
-    degree = degree.unionByName(link_counts(made, members, settings))
-    return placed.join(degree, "rep", "left").join(least, "label", "left").select(*columns, F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
-
-
-def _merged(labels: DataFrame, found: DataFrame) -> DataFrame | None:
-    """The labels after new links, by the components of the old components; None if nothing changes."""
-    if found.isEmpty():
-        return None
-    own = lambda c: found.select("a", "b").join(labels.withColumnRenamed("node", c).withColumnRenamed("label", f"l{c}"), c, "left")
-    ends = own("a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
-    moved = components(ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
-    every = labels.unionByName(moved.select("node", F.col("node").alias("label")).join(labels.select("node"), "node", "left_anti"))
-    step = moved.select(F.col("node").alias("label"), F.col("label").alias("to"))
-    return written(every.join(step, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+    whole = placed.join(degree, "node", "left").join(least, "label", "left")
+    return whole.select("doc_id", "row", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "label", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
 
 #: The query's contract: shingles of three words, similarity of 90 hundredths.
@@ -567,26 +577,30 @@ def one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's stage: one document of each class of similar texts stays (five words, 0.8), that of the least id.
 
     It is chosen by row, not by id: null ids come last, of equal ids the row of the least number stays, and of repeated rows
-    the one of the least text. Texts without words are similar to nothing and all stay.
+    the one of the least text. Texts without words are similar to nothing and all stay. Only documents that a Bloom filter
+    of fixed size takes for a row that goes or is repeated are shuffled; the others are never among them.
     """
-    found = written(similar_classes(docs, counted=False), "classes")
+    settings = JoinSettings()
+    found = written(similar_classes(docs, settings).select("doc_id", "row", "n_shingles", "label"), "classes")
     stays = found.where("n_shingles > 0").groupBy("label").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("_row"), F.count(F.lit(1)).alias("c"))
-    stays = written(stays.select("label", "_row", "c"), "stays")
-    classes = found.where("n_shingles > 0").join(stays.where("c > 1"), "label")
-    gone = classes.where("row <> _row").select(F.col("row").alias("_row")).distinct()
-    twice = classes.where("row = _row").groupBy("_row").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("_row")
-    size, names = JoinSettings().words, docs.columns
+    classes = found.where("n_shingles > 0").join(stays.where("c > 1").select("label", "_row"), "label")
+    marked = written(classes.groupBy("row").agg(F.max(F.col("row") == F.col("_row")).alias("_stays"), F.count(F.lit(1)).alias("c")).where("c > 1 or not _stays").select(F.col("row").alias("_row"), "_stays"), "marked")
+    size, bits, names = settings.words, settings.bloom_bits, docs.columns
     at, text = names.index("doc_id"), names.index("text")
-
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [_row_key(i, _digest(gram_set(t, size))) for i, t in zip(batch.column(at).to_pylist(), batch.column(text).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.int64())], [*names, "_row"])
-
-    _batches(spark, BATCH_ROWS)
-    kept = docs.mapInArrow(over, T.StructType([*docs.schema.fields, T.StructField("_row", T.LongType())])).join(gone, "_row", "left_anti")
-    if twice.isEmpty():
-        return kept.select(*names)
-    kept = written(kept, "kept")
-    again = kept.join(twice, "_row", "left_semi").groupBy("_row").agg(F.min_by(F.struct(*names), "text").alias("_doc")).select("_doc.*")
-    return kept.join(twice, "_row", "left_anti").select(*names).unionByName(again)
+    shared = spark.sparkContext.broadcast(bloom.build(marked, "_row", bits))
+
+    def rows(asked: bool):
+        def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in parts(batch, text):
+                    grams, ends = gram_sets(*table_of_texts(part.column(text)), size)
+                    keys = np.array([_row_key(i, _digest(grams[a:b])) for i, a, b in zip(part.column(at).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)], np.int64)
+                    keep = bloom.may_hold(shared.value, keys, bits) == asked
+                    yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(keys)] * asked], [*names, *["_row"] * asked]).filter(pa.array(keep))
+
+        return over
+
+    plain = docs.mapInArrow(rows(False), docs.schema)
+    some = docs.mapInArrow(rows(True), T.StructType([*docs.schema.fields, T.StructField("_row", T.LongType())])).join(marked, "_row", "left").where("_stays is null or _stays")
+    twice = some.where("_stays").groupBy("_row").agg(F.min_by(F.struct(*names), "text").alias("_doc")).select("_doc.*")
+    return plain.unionByName(some.where("_stays is null").select(*names)).unionByName(twice)

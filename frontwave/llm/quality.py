@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_unit, small_batches, table
+from .common import bounded, hash_unit, table
 
 GRADES = 3
 MARKS = b"""!"#$%&'()*+,-./:;<=>?@[]^_`{|}~"""
@@ -165,7 +165,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings, key: s
     bits = settings.bits
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 0):
             got = [buckets(t, bits) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([a.astype("<i4").tobytes() for a, _ in got], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in got], pa.binary()), batch.column(1)], ["at", "value", "grade"])
 
@@ -175,14 +175,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings, key: s
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> Model:
-    small_batches(docs.sparkSession)
     rows, grades = training_rows(docs, labels, settings, key, text)
     return fit(rows, grades, settings)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", expected: str = "expected_grade", tail: str = "tail_probability", at_least: int = GRADES - 1) -> DataFrame:
     """Add the expected grade and ``P(grade >= at_least)``."""
-    small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in (expected, tail)]
     at = names.index(text)
     schema = T.StructType([docs.schema[c] for c in names]).add(expected, T.DoubleType()).add(tail, T.DoubleType())
@@ -191,7 +189,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", expected: str = "ex
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, weights, cuts = shared.value
         own = Model(bits, weights, cuts)
-        for batch in batches:
+        for batch in bounded(batches, at):
             below = own.at_most(own.score(batch.column(at).to_pylist()))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns)), pa.array(np.round((1 - below).sum(axis=1), 9)), pa.array(np.round(1 - below[:, at_least - 1], 9))], [*names, expected, tail])
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import bounded
 
 # The base patterns of the contract, in the order that breaks ties.
 KINDS = ("assign", "access", "hex", "entropy")
@@ -166,14 +166,13 @@ def scan(docs: DataFrame, text: str = "text", spans: str = "secret_spans", redac
 
     A column that already has the name of ``spans`` is replaced.
     """
-    small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c != spans]
     at = kept.index(text)
     schema = T.StructType([docs.schema[c] for c in kept]).add(spans, SPAN)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64())]))
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, at):
             texts = batch.column(at).to_pylist()
             found = [find_spans(x, config) if x else [] for x in texts]
             columns = [batch.column(i) for i in range(batch.num_columns)]
@@ -187,14 +186,13 @@ def scan(docs: DataFrame, text: str = "text", spans: str = "secret_spans", redac
 
 def digest(docs: DataFrame, key: str = "doc_id", text: str = "text", config: ScanConfig = ScanConfig()) -> DataFrame:
     """One row per document: counts of each base kind, a digest of the base spans, and all spans."""
-    small_batches(docs.sparkSession)
     schema = T.StructType([docs.schema[key]])
     for n in ("n_assign", "n_access", "n_hex"):
         schema.add(n, T.LongType())
     schema.add("base_sha256", T.StringType()).add("spans", T.StringType()).add("n_entropy", T.LongType())
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 1):
             found = [find_spans(x, config) if x else [] for x in batch.column(1).to_pylist()]
             counts = [pa.array([sum(1 for s in f if s[1] == k) for f in found], pa.int64()) for k in range(4)]
             base = [hashlib.sha256(joined(s for s in f if s[1] < 3).encode()).hexdigest() for f in found]

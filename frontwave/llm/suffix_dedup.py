@@ -36,13 +36,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import BATCH_ROWS, written
+from .common import written
 
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C55)
 #: The base's inverse modulo 2**64.
 INVERSE = U(pow(int(BASE), -1, 2**64))
 _PLACE = 24
+BATCH_ROWS = 512
 
 
 @dataclass(frozen=True)

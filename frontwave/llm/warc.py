@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
-from .common import scratch, small_batches, table
+from .common import scratch, table
 
 READ_SCHEMA = "record_type string, record_id string, target_uri string, date string, payload_digest string, payload_bytes long, refers_to string, headers map<string,string>, payload binary"
 ARROW_READ = pa.schema([("record_type", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()), ("date", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
@@ -356,7 +356,6 @@ def page_records(pages: DataFrame, min_revisit_bytes: int = 0, key: str = "page_
 def write_warc(records: DataFrame, path: str, compression: str = "none", roll_bytes: int = 128 << 20) -> str:
     spark = records.sparkSession
     register(spark)
-    small_batches(spark)
     records.write.format("warc").mode("append").options(path=path, compression=compression, roll_bytes=str(roll_bytes)).save()
     return path
 

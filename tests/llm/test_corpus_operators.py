@@ -6,10 +6,12 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from frontwave.llm import fingerprints, jaccard_join, mixing, suffix_dedup, topk
+from frontwave.llm.common import parts, table_of_texts
 from frontwave.llm.components import components
 
 DOC = "doc_id long, text string"
@@ -83,7 +85,7 @@ def near_copies(rng, n, edits):
     return out
 
 
-@pytest.mark.parametrize(("settings", "seed"), [(jaccard_join.CONTRACT, 1), (jaccard_join.JoinSettings(long_list=3, heavy=64, heavy_least=2), 2), (jaccard_join.JoinSettings(words=2, num=60, den=100, long_list=2, heavy=16, heavy_least=2), 3)])
+@pytest.mark.parametrize(("settings", "seed"), [(jaccard_join.CONTRACT, 1), (jaccard_join.JoinSettings(window=2, part=8, heavy=64, heavy_least=2), 2), (jaccard_join.JoinSettings(words=2, num=60, den=100, window=1, looser=0, part=5, heavy=16, heavy_least=2), 3)])
 def test_jaccard_components(spark, settings, seed):
     rng = random.Random(seed)
     texts = [None, "", " \t", "one", "One", "two words", "TWO  words", "a b c", "x" * 100_000, "é É", "É é"]
@@ -105,7 +107,7 @@ def brute_links(texts, settings):
     return [links.get(s, 0) for s in sets]
 
 
-@pytest.mark.parametrize("settings", [jaccard_join.CONTRACT, jaccard_join.JoinSettings(words=2, num=60, den=100, long_list=2, heavy=16, heavy_least=2)])
+@pytest.mark.parametrize("settings", [jaccard_join.CONTRACT, jaccard_join.JoinSettings(words=2, num=60, den=100, window=1, looser=0, part=5, heavy=16, heavy_least=2)])
 def test_jaccard_counts_the_links_of_long_lists(spark, settings):
     rng = random.Random(11)
     texts = near_copies(rng, 130, 2) + near_copies(rng, 20, 3) + ["", None, "other words", "Other words"]
@@ -114,35 +116,64 @@ def test_jaccard_counts_the_links_of_long_lists(spark, settings):
     assert [got[i] for i in range(len(texts))] == brute_links(texts, settings)
 
 
-def test_jaccard_goes_on_past_tested_neighbours(spark):
-    # x links with y3 only, and its two nearest rows by range, y1 and y2, are tested before the rounds and do not link
-    settings = jaccard_join.JoinSettings(words=1, num=80, den=100, long_list=2)
+def test_jaccard_goes_on_past_neighbours(spark):
+    # x links with y3 only, and y1 and y2, which are nearer by their ranges, do not link with it
+    settings = jaccard_join.JoinSettings(words=1, num=80, den=100, window=1, looser=0)
     hashed = sorted((int(jaccard_join.gram_set(f"w{i}", 1)[0]), f"w{i}") for i in range(4000))
     of = lambda r: [w for h, w in hashed if h >> 58 == r]
     base = [w for h, w in hashed[:35]]  # the least hashes: the prefixes are theirs
     out = [of(r)[0] for r in range(50, 55)]
     put = [of(r)[1] for r in range(51, 55)]
     sets = {"x": base + out, "y1": base + put + [of(50)[2]], "y2": base + put + [of(50)[3]], "y3": base + put + [out[4]]}
-    key = lambda name, i: jaccard_join._row_key(i, jaccard_join._digest(jaccard_join.gram_set(" ".join(sets[name]), 1)))
-    rng = random.Random(1)
-    while True:  # ids for which the list is y1 (the head), x, y2, y3
-        ids = dict(zip(sets, rng.sample(range(1000), 4), strict=True))
-        if sorted(sets, key=lambda name: key(name, ids[name])) == ["y1", "x", "y2", "y3"]:
-            break
-    rows = spark.createDataFrame([(ids[name], " ".join(words)) for name, words in sets.items()], DOC)
-    got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard_join.similar_classes(rows, settings).collect()}
-    assert got == {ids[name]: (min(ids.values()), n) for name, n in (("x", 1), ("y1", 2), ("y2", 2), ("y3", 3))}
+    for seed in range(3):
+        ids = dict(zip(sets, random.Random(seed).sample(range(1000), 4), strict=True))
+        rows = spark.createDataFrame([(ids[name], " ".join(words)) for name, words in sets.items()], DOC)
+        got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard_join.similar_classes(rows, settings).collect()}
+        assert got == {ids[name]: (min(ids.values()), n) for name, n in (("x", 1), ("y1", 2), ("y2", 2), ("y3", 3))}
+
+
+def test_cross_edges_join_groups_that_no_window_met(spark):
+    # groups a and c pass the filters in the list of gram 5, b (another group) lies between them by size
+    settings = jaccard_join.JoinSettings(words=1, num=80, den=100, window=1)
+    ranges = lambda k: bytearray([0] * k + [10] + [0] * (15 - k))
+    long = spark.createDataFrame([(5, 1, 10, 0, ranges(0)), (5, 2, 10, 0, ranges(7)), (5, 3, 10, 0, ranges(0)), (6, 8, 10, 0, ranges(1)), (6, 9, 10, 0, ranges(1))], "gram long, node long, n long, pos int, ranges binary")
+    labels = spark.createDataFrame([(8, 8), (9, 8)], "node long, label long")
+    got = {tuple(sorted(r)) for r in jaccard_join.cross_edges(long, labels, settings, side=1).collect()}
+    assert got == {(1, 3)}
+    assert jaccard_join.cross_edges(long.where("gram = 6"), labels, settings) is None
 
 
 def test_link_counts_in_blocks(spark):
     rng = random.Random(12)
     settings = jaccard_join.JoinSettings(words=3, num=70, den=100)
     texts = list(dict.fromkeys(near_copies(rng, 60, 8) + near_copies(rng, 30, 8)))
-    made = spark.createDataFrame([(i, bytearray(jaccard_join.gram_set(t, 3).tobytes())) for i, t in enumerate(texts)], "row long, grams binary")
+    made = spark.createDataFrame([(i, bytearray(jaccard_join.gram_set(t, 3).tobytes())) for i, t in enumerate(texts)], "node long, grams binary")
     members = spark.createDataFrame([(i, 0) for i in range(len(texts))], "node long, label long")
-    for sizes in ({}, {"side": 20, "tile": 7}, {"most": 1500}):
-        got = {r.rep: r.links for r in jaccard_join.link_counts(made, members, settings, **sizes).collect()}
+    _, want = brute_components(texts, 3, 70, 100)
+    for sizes in ({}, {"side": 20, "tile": 7}, {"most": 1500}, {"side": 50, "tile": 30}):
+        found = jaccard_join.block_links(made, members, settings, **sizes)
+        got = {r.a: r.s for r in found.where("b is null").groupBy("a").agg(F.sum("links").alias("s")).collect()}
         assert [got.get(i, 0) for i in range(len(texts))] == brute_links(texts, settings)
+        label = {r.node: r.label for r in components(found.where("b is not null")).collect()}
+        assert [label.get(i, i) for i in range(len(texts))] == want
+
+
+def test_gram_sets(spark):
+    rng = random.Random(4)
+    texts = [None, "", "a", "a b", "A b", "x" * 10_000 + " y", "tab\tnew\nline\x0bvt\x0cff\rcr \xa0x", "é É"] + [" ".join("w" * rng.randint(1, 30) + str(rng.randint(0, 40)) for _ in range(rng.randint(0, 90))) for _ in range(80)]
+    column = pa.array(["pad", *texts])[1:]
+    for size in (1, 3, 9):
+        grams, at = jaccard_join.gram_sets(*table_of_texts(column), size)
+        known = {}
+        for i, t in enumerate(texts):
+            w = (t or "").encode().lower().split()
+            want = frozenset(tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))) if w else frozenset()
+            own = grams[at[i] : at[i + 1]]
+            assert len(own) == len(want) and (own == jaccard_join.gram_set(t, size)).all()
+            assert known.setdefault(want, own.tobytes()) == own.tobytes()
+        assert len(set(known.values())) == len(known)
+    batch = pa.RecordBatch.from_arrays([column], ["t"])
+    assert [x for p in parts(batch, 0, 500) for x in p.column(0).to_pylist()] == texts
 
 
 def test_jaccard_edges(spark):
