@@ -4,15 +4,18 @@
    first: by their count where they are frequent, then by hash. Counts come from all documents; a bounded table of the most
    frequent grams is all that ordering needs (a gram outside it is rare), and any order gives the same result.
 2. Documents of equal sets are one node, so exact copies are never paired; a task hands on a node's prefix once.
-3. Each node's prefix (the grams one of which every similar set must share) is joined by gram, for the grams that more than
-   one node has, which are found by an aggregation that combines before the shuffle. Within a gram's list, sorted by set
-   size, pairs must pass the length, positional and suffix filters: the last cuts the hash space into ranges and compares
-   the sets' counts in them, whose difference bounds the symmetric difference from below. What leaves a list is not its
-   pairs but a forest that spans them, so that the rows made grow with the lists and not with their squares.
-4. In a list of more than ``window`` nodes, each meets only the last ``window`` before it, under looser filters. Lists whose
-   nodes are then in more than one group are looked at again: every node outside the list's largest group meets all nodes
-   of other groups, in blocks, under the strict filters (``cross_edges``). So two nodes that pass the filters in any
-   list are in one group, whatever its length.
+3. Each node's prefix (the grams of which every similar set must share one, and of large sets up to eight) is joined by gram,
+   for the grams that more than one node has, which are found by an aggregation that combines before the shuffle. Within a
+   gram's list, sorted by set size, pairs must pass the length and positional filters. The pairs of a short list (at most
+   ``short`` nodes) are counted over all lists; those that share as many grams as their sizes ask for come to the suffix
+   filter: the hash space is cut into ranges and the sets' counts in them are compared, whose difference bounds the symmetric
+   difference from below.
+4. In longer lists all three filters act within the list, and what leaves it is not its pairs but a forest that spans them,
+   so that the rows made grow with the lists and not with their squares. In a list of more than ``window`` nodes, each
+   meets only the last ``window`` before it, under looser filters. Lists whose nodes are then in more than one group are
+   looked at again: every node outside the list's largest group meets all nodes of other groups, in blocks, under the
+   strict filters (``cross_edges``). So two nodes that may be similar are in one group, whatever the length of their lists:
+   either they share a gram of a longer list, or all grams that they must share are in short ones.
 5. Each pair of a group is verified once, by whole sets, in blocks (``block_links``); a block gives the number of links of
    each node and a forest that spans its links. Pairs never leave a block: copies are not expanded into pairs, yet the
    numbers of links are exact.
@@ -42,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bloom
-from .common import drop_scratch, parts, table_of_texts, written
+from .common import bounded, drop_scratch, parts, table_of_texts, written
 from .components import components, forest
 
 U = np.uint64
@@ -51,13 +54,14 @@ _LONG_WORD = 4096
 
 @dataclass(frozen=True)
 class JoinSettings:
-    """Two sets link when ``den * intersection >= num * union``. ``heavy`` bounds the table of frequent grams; lists of more than ``window`` + 1 nodes are long, and dealt in parts of about ``part`` nodes; the Bloom filter has ``2**bloom_bits`` bits."""
+    """Two sets link when ``den * intersection >= num * union``. ``heavy`` bounds the table of frequent grams; lists of at most ``short`` nodes give pairs, those of more than ``window`` + 1 are dealt in parts of about ``part`` nodes; the Bloom filter has ``2**bloom_bits`` bits."""
 
     words: int = 5
     num: int = 80
     den: int = 100
     heavy: int = 65_536
     heavy_least: int = 8
+    short: int = 16
     window: int = 48
     looser: int = 10
     part: int = 65_536
@@ -68,8 +72,12 @@ class JoinSettings:
         num = self.num - looser
         return -(-num * n // (num + self.den))
 
+    def extra(self, n):
+        """How many grams beyond the first a prefix must share."""
+        return np.minimum(n // 256, 7)
+
     def prefix(self, n):
-        return n - -(-self.num * n // self.den) + 1
+        return n - -(-self.num * n // self.den) + 1 + self.extra(n)
 
 
 # ---- sets
@@ -164,7 +172,7 @@ def _row_key(doc_id, digest: bytes) -> int:
 
 def _ranges(grams: np.ndarray) -> bytes:
     """How many grams are in each of 16 to 4096 equal ranges of the hash space, two to four of them a range, 255 at most."""
-    bits = min(12, max(4, (max(1, len(grams) // 4)).bit_length()))
+    bits = min(12, max(4, (len(grams) // 4).bit_length()))
     return np.minimum(np.bincount((grams >> U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
@@ -281,29 +289,86 @@ class Ranges:
         return out
 
 
+def _may_link(n, pos, i, j, settings: JoinSettings, looser: int = 0) -> np.ndarray:
+    """Which pairs pass the length and positional filters: before a shared gram there are at most as many others as the smaller prefix has beyond the first."""
+    small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+    left = np.minimum(n[i] - pos[i], n[j] - pos[j]) + settings.extra(small)
+    return (small * settings.den >= large * (settings.num - looser)) & (left >= settings.overlap(small + large, looser))
+
+
 def _passes(n, pos, ranges: Ranges, i, j, settings: JoinSettings, looser: int = 0) -> np.ndarray:
     """Which pairs pass the length, positional and suffix filters."""
     least = settings.overlap(n[i] + n[j], looser)
-    fits = (np.minimum(n[i], n[j]) * settings.den >= np.maximum(n[i], n[j]) * (settings.num - looser)) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least)
+    fits = _may_link(n, pos, i, j, settings, looser)
     at = np.flatnonzero(fits)
     fits[at] = ranges.apart(i[at], j[at]) <= n[i[at]] + n[j[at]] - 2 * least[at]
     return fits
 
 
 def shared_lists(every: DataFrame) -> DataFrame:
-    """gram, node, n, pos, c, ranges: the postings of the grams that more than one node has in its prefix; c is their number."""
-    first = every.where("prefix is not null")
-    postings = first.select("node", "n", F.posexplode("prefix").alias("pos", "gram"))
+    """gram, node, n, pos, c: the postings of the grams that more than one node has in its prefix; c is their number."""
+    postings = every.where("prefix is not null").select("node", "n", F.posexplode("prefix").alias("pos", "gram"))
     counts = postings.groupBy("gram").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi").select("gram", "c")
-    slim = written(postings.join(counts, "gram").select("gram", "node", "n", "pos", "c"), "lists")
-    ranges = first.join(slim.select("node").distinct(), "node", "left_semi").select("node", "ranges").dropDuplicates(["node"])
-    out = written(slim.join(ranges, "node"), "lists")
-    drop_scratch(every.sparkSession, slim)
-    return out
+    return written(postings.join(counts, "gram").select("gram", "node", "n", "pos", "c"), "lists")
+
+
+def _ranges_of(every: DataFrame, nodes: DataFrame) -> DataFrame:
+    return every.where("prefix is not null").join(nodes.distinct(), "node", "left_semi").select("node", "ranges").dropDuplicates(["node"])
+
+
+def short_pairs(lists: DataFrame, every: DataFrame, settings: JoinSettings) -> DataFrame:
+    """(a, b): the pairs of short lists that pass the filters and share as many grams as they must."""
+    short = settings.short
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            own = pa.Table.from_batches([batch])
+            own = own if held is None else pa.concat_tables([held, own])
+            gram, n, node, pos = (own.column(i).to_numpy() for i in range(4))
+            last = int(np.searchsorted(gram != gram[-1], False)) if gram[0] == gram[-1] else len(gram) - int(np.argmax(gram[::-1] != gram[-1]))
+            yield pairs(gram[:last], n[:last], node[:last], pos[:last])
+            held = own.slice(last)
+        if held is not None:
+            yield pairs(*(held.column(i).to_numpy() for i in range(4)))
+
+    def pairs(gram, n, node, pos) -> pa.RecordBatch:
+        # a node may be posted once by each task that has one of its copies
+        fresh = np.ones(len(gram), bool)
+        fresh[1:] = (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])
+        gram, n, node, pos = (x[fresh] for x in (gram, n, node, pos))
+        first, found = np.arange(len(gram)), []
+        for step in range(1, short):
+            first = first[first + step < len(gram)]
+            first = first[gram[first + step] == gram[first]]
+            if not len(first):
+                break
+            i = first[_may_link(n, pos, first, first + step, settings)]
+            found.append((np.minimum(node[i], node[i + step]), np.maximum(node[i], node[i + step]), 1 + settings.extra(np.minimum(n[i], n[i + step]))))
+        a, b, need = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
+        order = np.lexsort((b, a))
+        a, b, need = a[order], b[order], need[order]
+        starts = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.empty(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(a[starts]), pa.array(b[starts]), pa.array(need[starts]), pa.array(np.diff(np.concatenate([starts, [len(a)]])))], ["a", "b", "need", "k"])
+
+    def suffix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, 3):
+            n = np.concatenate([batch.column(i).to_numpy() for i in (2, 4)])
+            ranges = Ranges([*batch.column(3).to_pylist(), *batch.column(5).to_pylist()])
+            i = np.arange(batch.num_rows)
+            yield batch.select([0, 1]).filter(pa.array(_passes(n, np.zeros_like(n), ranges, i, i + batch.num_rows, settings)))
+
+    few = lists.where(F.col("c") <= short).select("gram", "n", "node", "pos")
+    met = few.repartition("gram").sortWithinPartitions("gram", "n", "node").mapInArrow(over, "a long, b long, need long, k long")
+    pairs_ = written(met.groupBy("a", "b").agg(F.sum("k").alias("k"), F.max("need").alias("need")).where("k >= need").select("a", "b"), "candidates")
+    ranges = _ranges_of(every, pairs_.select(F.explode(F.array("a", "b")).alias("node")))
+    sizes = every.where("prefix is not null").select("node", "n")
+    side = lambda c: ranges.join(sizes.dropDuplicates(["node"]), "node").select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("ranges").alias(f"r_{c}"))
+    return pairs_.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "r_a", "n_b", "r_b").mapInArrow(suffix, "a long, b long")
 
 
 def near_edges(lists: DataFrame, settings: JoinSettings) -> DataFrame:
-    """(a, b): a forest that spans the pairs of nodes that pass the filters, of short lists all, of long ones those within a window, under looser filters."""
+    """(a, b): a forest that spans the pairs that pass the filters in the longer lists: up to ``window`` + 1 nodes all, of others those within a window, under looser filters."""
     window = settings.window
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,17 +455,26 @@ def _by_group(keys: int, made):
     return over
 
 
-def groups(lists: DataFrame, settings: JoinSettings) -> DataFrame:
-    """(node, label) of the nodes that are a candidate with another; two nodes that pass the filters in a list have one label."""
-    labels = components(near_edges(lists, settings))
-    long = lists.where(F.col("c") > settings.window + 1)
-    more = None if long.isEmpty() else cross_edges(long, labels, settings)
-    if more is None:
-        return labels
-    moved = components(more)
-    every = labels.unionByName(moved.select("node", F.col("node").alias("label")).join(labels.select("node"), "node", "left_anti"))
-    step = moved.select(F.col("node").alias("label"), F.col("label").alias("to"))
-    return written(every.join(step, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+def groups(every: DataFrame, settings: JoinSettings) -> DataFrame:
+    """(node, label) of the nodes that are a candidate with another; two nodes that may be similar have one label."""
+    spark = every.sparkSession
+    lists = shared_lists(every)
+    edges = short_pairs(lists, every, settings)
+    longer = lists.where(F.col("c") > settings.short)
+    if longer.isEmpty():
+        labels, more = components(edges), None
+    else:
+        longer = written(longer.join(_ranges_of(every, longer.select("node")), "node").select("gram", "node", "n", "pos", "c", "ranges"), "longer")
+        labels = components(edges.unionByName(near_edges(longer, settings)))
+        long = longer.where(F.col("c") > settings.window + 1)
+        more = None if long.isEmpty() else cross_edges(long, labels, settings)
+    if more is not None:
+        moved = components(more)
+        with_new = labels.unionByName(moved.select("node", F.col("node").alias("label")).join(labels.select("node"), "node", "left_anti"))
+        step = moved.select(F.col("node").alias("label"), F.col("label").alias("to"))
+        labels = written(with_new.join(step, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+    drop_scratch(spark, lists)
+    return labels
 
 
 # ---- verification
@@ -551,12 +625,10 @@ def similar_classes(docs: DataFrame, settings: JoinSettings = JoinSettings(), ke
     spark = docs.sparkSession
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     every = profiles(docs, settings)
-    lists = shared_lists(every)
-    members = groups(lists, settings)
+    members = groups(every, settings)
     made = sets_of(docs, members, settings)
     found = block_links(made, members, settings)
-    for done in (lists, made):
-        drop_scratch(spark, done)
+    drop_scratch(spark, made)
     labels = components(found.where("b is not null").select("a", "b"))
     degree = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     placed = every.select("doc_id", "row", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

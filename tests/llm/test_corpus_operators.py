@@ -85,7 +85,7 @@ def near_copies(rng, n, edits):
     return out
 
 
-@pytest.mark.parametrize(("settings", "seed"), [(jaccard_join.CONTRACT, 1), (jaccard_join.JoinSettings(window=2, part=8, heavy=64, heavy_least=2), 2), (jaccard_join.JoinSettings(words=2, num=60, den=100, window=1, looser=0, part=5, heavy=16, heavy_least=2), 3)])
+@pytest.mark.parametrize(("settings", "seed"), [(jaccard_join.CONTRACT, 1), (jaccard_join.JoinSettings(short=2, window=3, part=8, heavy=64, heavy_least=2), 2), (jaccard_join.JoinSettings(words=2, num=60, den=100, short=1, window=1, looser=0, part=5, heavy=16, heavy_least=2), 3)])
 def test_jaccard_components(spark, settings, seed):
     rng = random.Random(seed)
     texts = [None, "", " \t", "one", "One", "two words", "TWO  words", "a b c", "x" * 100_000, "é É", "É é"]
@@ -107,7 +107,7 @@ def brute_links(texts, settings):
     return [links.get(s, 0) for s in sets]
 
 
-@pytest.mark.parametrize("settings", [jaccard_join.CONTRACT, jaccard_join.JoinSettings(words=2, num=60, den=100, window=1, looser=0, part=5, heavy=16, heavy_least=2)])
+@pytest.mark.parametrize("settings", [jaccard_join.CONTRACT, jaccard_join.JoinSettings(words=2, num=60, den=100, short=1, window=1, looser=0, part=5, heavy=16, heavy_least=2)])
 def test_jaccard_counts_the_links_of_long_lists(spark, settings):
     rng = random.Random(11)
     texts = near_copies(rng, 130, 2) + near_copies(rng, 20, 3) + ["", None, "other words", "Other words"]
@@ -116,9 +116,27 @@ def test_jaccard_counts_the_links_of_long_lists(spark, settings):
     assert [got[i] for i in range(len(texts))] == brute_links(texts, settings)
 
 
+def test_jaccard_of_large_sets(spark):
+    # sets that must share several grams of their prefixes, in short lists and in longer ones
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    texts = []
+    for copies, size in ((2, 600), (3, 1500), (25, 700), (4, 2600)):
+        base = [word() for _ in range(size)]
+        for _ in range(copies):
+            own = list(base)
+            for _ in range(rng.randint(0, size // 30)):
+                own[rng.randrange(size)] = word()
+            texts.append(" ".join(own))
+    got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard_join.similar_classes(rows_of(spark, texts), jaccard_join.CONTRACT).collect()}
+    _, label = brute_components(texts, 3, 90, 100)
+    assert [got[i] for i in range(len(texts))] == list(zip(label, brute_links(texts, jaccard_join.CONTRACT), strict=True))
+    assert len(set(label)) < len(texts)
+
+
 def test_jaccard_goes_on_past_neighbours(spark):
     # x links with y3 only, and y1 and y2, which are nearer by their ranges, do not link with it
-    settings = jaccard_join.JoinSettings(words=1, num=80, den=100, window=1, looser=0)
+    settings = jaccard_join.JoinSettings(words=1, num=80, den=100, short=2, window=1, looser=0)
     hashed = sorted((int(jaccard_join.gram_set(f"w{i}", 1)[0]), f"w{i}") for i in range(4000))
     of = lambda r: [w for h, w in hashed if h >> 58 == r]
     base = [w for h, w in hashed[:35]]  # the least hashes: the prefixes are theirs
