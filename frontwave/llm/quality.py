@@ -12,7 +12,7 @@ length and text length by classes), so that the text's form counts beside its wo
 An L1 penalty, and a least number of training documents for a bucket to get a weight, keep chance words out of the model.
 
 Training rows are a bounded sample: at most ``max_train`` labelled documents, those with the least hashes of their ids, each
-with all its features. Scoring reads whole texts of all documents.
+with all its features; the model is fitted in one task. Scoring reads whole texts of all documents.
 
 Defined results: a null or empty text has shape features only and is scored by them; null labels are left out; a document
 labelled twice counts with its lowest grade; repeated documents score alike; with no labels, or labels of one grade,
@@ -78,21 +78,13 @@ def shape(raw: bytes, words: list[bytes]) -> list[str]:
     ]
 
 
-def buckets(text: str | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of a text's words, and those of its shape, with their values."""
+def buckets(text: str | None, bits: int) -> np.ndarray:
+    """Distinct buckets of a text's words, then those of its shape."""
     raw = (text or "").encode("utf-8", "replace")
     plain = raw.split()
     words = raw.lower().split()
-    out_i, out_v = [], []
-    if words:
-        h = np.array([_word_hash(w) for w in {w.strip(MARKS) for w in words}], np.uint64)
-        got = np.unique(h >> np.uint64(64 - bits)).astype(np.int64)
-        out_i.append(got)
-        out_v.append(np.ones(len(got)))
-    names = [xxhash.xxh3_64_intdigest(s) >> (64 - bits) for s in shape(raw, plain)]
-    out_i.append(np.array(names, np.int64))
-    out_v.append(np.ones(len(names)))
-    return np.concatenate(out_i), np.concatenate(out_v)
+    got = np.unique(np.array([_word_hash(w) for w in {w.strip(MARKS) for w in words}], np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+    return np.concatenate([got, np.array([xxhash.xxh3_64_intdigest(s) >> (64 - bits) for s in shape(raw, plain)], np.int64)])
 
 
 @dataclass
@@ -110,13 +102,37 @@ class Model:
     def score(self, texts: list[str | None]) -> np.ndarray:
         out = np.empty(len(texts))
         for i, t in enumerate(texts):
-            at, value = buckets(t, self.bits)
-            out[i] = float(self.weights[at] @ value)
+            out[i] = float(self.weights[buckets(t, self.bits)].sum())
         return out
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, settings: Settings) -> Model:
-    """Maximum likelihood by AdaGrad over the whole sample each round; thresholds stay ordered as a start plus positive steps."""
+def cuts_of(free: np.ndarray) -> np.ndarray:
+    """Ordered thresholds: a start, then positive steps, whose logarithms are free."""
+    return np.concatenate([free[:1], free[0] + np.cumsum(np.exp(free[1:]))])
+
+
+def likelihood(weights: np.ndarray, free: np.ndarray, doc: np.ndarray, at: np.ndarray, grades: np.ndarray, balance: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The balanced mean log-likelihood of the grades and its gradients by the weights and by the free numbers of the thresholds.
+
+    Entry k says that document ``doc[k]`` has bucket ``at[k]``.
+    """
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    n = len(grades)
+    score = np.bincount(doc, weights[at], n)
+    edge = np.concatenate([[-np.inf], cuts_of(free), [np.inf]])
+    high, low = edge[grades + 1] - score, edge[grades] - score
+    ph, pl = np.where(np.isinf(high), 1.0, sigmoid(high)), np.where(np.isinf(low), 0.0, sigmoid(low))
+    p = np.maximum(ph - pl, 1e-12)
+    dh, dl = ph * (1 - ph) / p * balance, pl * (1 - pl) / p * balance
+    to_cut = np.zeros(GRADES - 1)
+    np.add.at(to_cut, np.minimum(grades, GRADES - 2), np.where(grades < GRADES - 1, dh, 0))
+    np.add.at(to_cut, np.maximum(grades - 1, 0), np.where(grades > 0, -dl, 0))
+    tail = np.cumsum(to_cut[::-1])[::-1] / n
+    return float((balance * np.log(p)).sum() / n), np.bincount(at, (dl - dh)[doc], len(weights)) / n, np.concatenate([tail[:1], tail[1:] * np.exp(free[1:])])
+
+
+def fit(rows: list[np.ndarray], grades: np.ndarray, settings: Settings) -> Model:
+    """Maximum likelihood by AdaGrad over the whole sample each round, with an L1 step after each."""
     seen = np.bincount(grades, minlength=GRADES) / max(1, len(grades))
     below = np.clip(np.cumsum(seen)[:-1], 1e-6, 1 - 1e-6)
     first, steps = math.log(below[0] / (1 - below[0])), np.diff(np.log(below / (1 - below)))
@@ -124,38 +140,27 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, settings:
         first, steps = -30.0, np.full(GRADES - 2, 1e-3)
     free = np.concatenate([[first], np.log(np.maximum(steps, 1e-3))])
     weights = np.zeros(1 << settings.bits)
-    cuts = lambda: np.concatenate([[free[0]], free[0] + np.cumsum(np.exp(free[1:]))])
     if np.count_nonzero(seen) >= 2:
-        at, value = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
-        common = np.bincount(at, minlength=len(weights)) >= settings.least_documents
-        doc = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+        at, doc = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        often = np.bincount(at, minlength=len(weights)) >= settings.least_documents
+        known, own = np.flatnonzero(often), np.zeros(np.count_nonzero(often))  # other buckets keep weight 0
+        doc, at = doc[often[at]], np.searchsorted(known, at[often[at]])
         balance = (1 / np.maximum(seen, 1e-9) / np.count_nonzero(seen))[grades] ** 0.5
-        g_w, g_f = np.full(len(weights), 1e-7), np.full(len(free), 1e-8)
-        sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        g_w, g_f = np.full(len(own), 1e-7), np.full(len(free), 1e-8)
         for _ in range(settings.rounds):
-            score = np.bincount(doc, value * weights[at], len(rows))
-            edge = np.concatenate([[-np.inf], cuts(), [np.inf]])
-            high, low = edge[grades + 1] - score, edge[grades] - score
-            ph, pl = np.where(np.isinf(high), 1.0, sigmoid(high)), np.where(np.isinf(low), 0.0, sigmoid(low))
-            p = np.maximum(ph - pl, 1e-12)
-            dh, dl = ph * (1 - ph) / p * balance, pl * (1 - pl) / p * balance
-            to_cut = np.zeros(GRADES - 1)
-            np.add.at(to_cut, np.minimum(grades, GRADES - 2), np.where(grades < GRADES - 1, dh, 0))
-            np.add.at(to_cut, np.maximum(grades - 1, 0), np.where(grades > 0, -dl, 0))
-            grad = np.bincount(at, value * (dl - dh)[doc], len(weights)) / len(rows) * common
-            tail = np.cumsum(to_cut[::-1])[::-1] / len(rows)
-            grad_free = np.concatenate([[tail[0]], tail[1:] * np.exp(free[1:])])
+            _, grad, grad_free = likelihood(own, free, doc, at, grades, balance)
             g_w += grad**2
             g_f += grad_free**2
             step = settings.rate / np.sqrt(g_w)
-            weights += step * grad
-            weights = np.sign(weights) * np.maximum(np.abs(weights) - step * settings.l1, 0)
+            own += step * grad
+            own = np.sign(own) * np.maximum(np.abs(own) - step * settings.l1, 0)
             free += 0.1 * settings.rate * grad_free / np.sqrt(g_f)
-    return Model(settings.bits, weights, cuts())
+        weights[known] = own
+    return Model(settings.bits, weights, cuts_of(free))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings, key: str = "doc_id", text: str = "text") -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """Features and grades of the bounded sample. Only the sample's ids are broadcast, and only its features reach the driver."""
+def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """at (the buckets), grade: the bounded sample. Only its ids are broadcast."""
     graded = labels.select(F.col(key).alias("_id"), (F.col("quality") + 1 - F.col("toxic")).cast("int").alias("_grade")).where(f"_id is not null and _grade between 0 and {GRADES - 1}").groupBy("_id").agg(F.min("_grade").alias("_grade"))
     share = F.lit(1.0)
     n = graded.count()
@@ -166,17 +171,21 @@ def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings, key: s
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, 0):
-            got = [buckets(t, bits) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([a.astype("<i4").tobytes() for a, _ in got], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in got], pa.binary()), batch.column(1)], ["at", "value", "grade"])
+            yield pa.RecordBatch.from_arrays([pa.array([buckets(t, bits).astype("<i4").tobytes() for t in batch.column(0).to_pylist()], pa.binary()), batch.column(1)], ["at", "grade"])
 
-    rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(sample), "_id").select("_text", "_grade").mapInArrow(over, "at binary, value binary, grade int").collect()
-    rows.sort(key=lambda r: (r.grade, bytes(r.at), bytes(r.value)))
-    return [(np.frombuffer(r.at, "<i4").astype(np.int64), np.frombuffer(r.value, "<f4").astype(float)) for r in rows], np.array([r.grade for r in rows], np.int64)
+    return docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(sample), "_id").select("_text", "_grade").mapInArrow(over, "at binary, grade int")
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> Model:
-    rows, grades = training_rows(docs, labels, settings, key, text)
-    return fit(rows, grades, settings)
+    """The model, fitted in one task (the sample is bounded); only its numbers reach the driver."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((g, at) for batch in batches for at, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        model = fit([np.frombuffer(at, "<i4").astype(np.int64) for _, at in rows], np.array([g for g, _ in rows], np.int64), settings)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.cuts.tobytes()], pa.binary())], ["weights", "cuts"])
+
+    got = training_rows(docs, labels, settings, key, text).repartition(1).mapInArrow(over, "weights binary, cuts binary").collect()
+    return Model(settings.bits, np.frombuffer(got[0].weights), np.frombuffer(got[0].cuts)) if got else fit([], np.empty(0, np.int64), settings)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", expected: str = "expected_grade", tail: str = "tail_probability", at_least: int = GRADES - 1) -> DataFrame:
