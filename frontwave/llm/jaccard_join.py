@@ -171,8 +171,8 @@ def _row_key(doc_id, digest: bytes) -> int:
 
 
 def _ranges(grams: np.ndarray) -> bytes:
-    """How many grams are in each of 16 to 4096 equal ranges of the hash space, two to four of them a range, 255 at most."""
-    bits = min(12, max(4, (len(grams) // 4).bit_length()))
+    """How many grams are in each of 16 to 256 equal ranges of the hash space, two to four of them a range where that is enough, 255 at most."""
+    bits = min(8, max(4, (len(grams) // 4).bit_length()))
     return np.minimum(np.bincount((grams >> U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
@@ -460,7 +460,7 @@ def groups(every: DataFrame, settings: JoinSettings) -> DataFrame:
     spark = every.sparkSession
     lists = shared_lists(every)
     edges = short_pairs(lists, every, settings)
-    longer = lists.where(F.col("c") > settings.short)
+    longer = lists.where(F.col("c") > settings.short).dropDuplicates(["gram", "node"])
     if longer.isEmpty():
         labels, more = components(edges), None
     else:
