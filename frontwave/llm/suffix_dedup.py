@@ -6,17 +6,20 @@ cross documents.
 1. Every window of ``length`` bytes has an anchor: the leftmost of its ``gram``-byte strings with the least hash. The
    anchor is a function of the window's bytes, so equal windows have equal anchors at equal places, and the suffixes of
    all documents can be dealt by their window's anchor, without any pair being missed. Consecutive windows share an
-   anchor; such a run is one record: the anchor's hash, a digest of the bytes its windows cover (the context), and place.
+   anchor; such a run is one record: the anchor's hash, a 128-bit digest of the bytes its windows cover (the context), and
+   place. What a task meets of a context beyond two records is known to repeat there, and is dealt anywhere.
 2. Records are dealt by anchor and streamed. Equal contexts met twice: all their windows repeat. An anchor with one
    record: none does. An anchor with different contexts is open: one record of each context goes on.
 3. The bytes of open contexts are fetched, by a scan that a Bloom filter of fixed size keeps to the rows in question.
-   Per anchor, the windows' suffixes are sorted by a mergesort that works on all anchors of a batch at once: two suffixes
+4. An anchor with more than ``hot`` open contexts is dealt further (``split``): its windows are halved by their place relative
+   to the anchor, and dealt by the bytes that all windows of a half have in common, again and again until at most ``hot``
+   different strings are left together. Equal strings are collapsed, byte by byte, and strings that are alone drop out, so
+   the rows made follow the differences.
+5. Per group, the windows' suffixes are sorted by a mergesort that works on all groups of a batch at once: two suffixes
    are compared by the longest common extension, found by binary search over prefix polynomial hashes (mod 2**64, read at
    any place through powers of the base and its inverse), so a comparison takes a logarithmic number of steps. Neighbours in order with a
    common extension of the full length repeat; that is verified byte by byte, so a hash collision removes nothing.
-4. An anchor with more than ``hot`` open contexts is not sorted in one task: its windows are counted by 128-bit digests in
-   an aggregation that combines before the shuffle.
-5. Removed runs are the union of repeated windows; the kept bytes' digest is made where a document has any.
+6. Removed runs are the union of repeated windows; the kept bytes' digest is made where a document has any.
 
 Rows are known by a hash of id and text: repeated rows are separate documents that repeat each other in full, and share
 their intervals. Defined results: a null text counts as empty; a text shorter than ``length`` keeps all; an empty table
@@ -32,18 +35,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import written
+from .common import bounded, drop_scratch, written
 
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C55)
 #: The base's inverse modulo 2**64.
 INVERSE = U(pow(int(BASE), -1, 2**64))
 _PLACE = 24
-BATCH_ROWS = 512
 
 
 @dataclass(frozen=True)
@@ -135,28 +137,32 @@ def _binary(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def _batches(spark: SparkSession, rows: int) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-def records(docs: DataFrame, settings: DedupSettings) -> DataFrame:
-    """h, c, row, a, b: each run's anchor hash, context digest, row, first and last window."""
+def records(docs: DataFrame, settings: DedupSettings, most: int = 1_000_000) -> DataFrame:
+    """h, c, d, row, a, b, again: each run's anchor hash, context digest (two numbers), row, first and last window, and whether this task gave two records of the context before."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        met: dict[int, int] = {}
+        for batch in bounded(batches, 1):
             rows, texts = batch.column(0).to_numpy(), _binary(batch.column(1))
             for data, ends, whose in _segments(texts, settings):
                 h, starts, stops = anchor_runs(data, ends, settings)
                 if not len(h):
                     continue
                 view, length, digest = memoryview(data), settings.length, hashlib.blake2b
-                c = b"".join([digest(view[s : e + length], digest_size=8).digest() for s, e in zip(starts.tolist(), stops.tolist(), strict=True)])
+                c = np.frombuffer(b"".join([digest(view[s : e + length], digest_size=16).digest() for s, e in zip(starts.tolist(), stops.tolist(), strict=True)]), np.int64).reshape(-1, 2)
+                if len(met) > most:
+                    met.clear()
+                again = []
+                for key in c[:, 0].tolist():
+                    n = met.get(key, 0)
+                    met[key] = n + 1
+                    again.append(n >= 2)
                 part = np.searchsorted(ends, starts, side="right")
                 text = np.array([w[0] for w in whose])[part]
                 shift = np.array([w[1] for w in whose])[part] - np.concatenate([[0], ends])[part]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.frombuffer(c, np.int64)), pa.array(rows[text]), pa.array((starts + shift).astype(np.int32)), pa.array((stops + shift).astype(np.int32))], ["h", "c", "row", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c[:, 0]), pa.array(c[:, 1]), pa.array(rows[text]), pa.array((starts + shift).astype(np.int32)), pa.array((stops + shift).astype(np.int32)), pa.array(again)], ["h", "c", "d", "row", "a", "b", "again"])
 
-    return docs.select("row", "text").mapInArrow(over, "h long, c long, row long, a int, b int")
+    return docs.select("row", "text").mapInArrow(over, "h long, c long, d long, row long, a int, b int, again boolean")
 
 
 def classify(found: DataFrame, most: int = 200_000) -> DataFrame:
@@ -165,16 +171,20 @@ def classify(found: DataFrame, most: int = 200_000) -> DataFrame:
     An anchor's records come sorted by context. Those of the last anchor of a batch are held back, unless they are many:
     then its finished contexts are let go, and what is known of the anchor is kept.
     """
+
+    def out(row, a, b, h, kind) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in zip((row, a, b, h, kind), (np.int64, np.int32, np.int32, np.int64, np.int32), strict=True)], ["row", "a", "b", "h", "kind"])
+
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         # the anchor whose records were partly let go, its last context let go, whether it has several contexts, its first record if not yet sent
-        known: tuple[int, int, bool, tuple | None] | None = None
+        known: tuple[int, tuple[int, int], bool, tuple | None] | None = None
 
-        def settle(h, c, row, a, b, final: bool):
+        def settle(h, c, d, row, a, b, final: bool):
             """Rows for all records, or for all but those of the last context; how many were settled."""
             nonlocal known
             fresh_h = np.concatenate([[True], h[1:] != h[:-1]])
-            fresh = fresh_h | np.concatenate([[True], c[1:] != c[:-1]])
+            fresh = fresh_h | np.concatenate([[True], (c[1:] != c[:-1]) | (d[1:] != d[:-1])])
             starts = np.flatnonzero(fresh)
             count = np.diff(np.concatenate([starts, [len(h)]]))
             n = len(h) if final else int(starts[-1])
@@ -183,10 +193,11 @@ def classify(found: DataFrame, most: int = 200_000) -> DataFrame:
             group = np.cumsum(fresh_h) - 1
             kinds = np.bincount(group[starts], minlength=group[-1] + 1)
             goes_on = known is not None and known[0] == h[0]
+            same = goes_on and known[1] == (c[0], d[0])
             early = []
             if goes_on:
                 kinds[0] += 1
-                if known[1] == c[0]:
+                if same:
                     kinds[0] -= 1
                     count[0] += 1
                 if known[2]:
@@ -197,7 +208,7 @@ def classify(found: DataFrame, most: int = 200_000) -> DataFrame:
             kind = np.where(many, 0, np.where(several, 1, -1))
             rep = np.zeros(len(h), bool)
             rep[starts] = True
-            if goes_on and known[1] == c[0]:
+            if same:
                 rep[0] = False  # sent before, or just now
             take, reps = np.flatnonzero((kind >= 0)[:n]), np.flatnonzero((rep & many & several)[:n])
             at = np.concatenate([take, reps])
@@ -209,33 +220,38 @@ def classify(found: DataFrame, most: int = 200_000) -> DataFrame:
                 lone = kinds[last] == 1
                 first = int(starts[0])
                 pending = (known[3] if goes_on and known[3] is not None else (int(row[first]), int(a[first]), int(b[first]), int(h[first]), 2)) if lone else None
-                known = (int(h[n - 1]), int(c[n - 1]), not lone, pending)
+                known = (int(h[n - 1]), (int(c[n - 1]), int(d[n - 1])), not lone, pending)
             cols = [np.concatenate([x[at].astype(np.int64), np.array([e[i] for e in early], np.int64)]) for i, x in ((0, row), (1, a), (2, b), (3, h))]
-            label = np.concatenate([label, np.full(len(early), 2)]).astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1].astype(np.int32)), pa.array(cols[2].astype(np.int32)), pa.array(cols[3]), pa.array(label)], ["row", "a", "b", "h", "kind"]), n
+            return out(*cols, np.concatenate([label, np.full(len(early), 2)])), n
 
         for batch in batches:
-            own = [batch.column(i).to_numpy() for i in range(5)]
+            again = batch.column(6).to_numpy(zero_copy_only=False)
+            own = [batch.column(i).to_numpy() for i in range(6)]
+            if again.any():
+                h, _, _, row, a, b = (x[again] for x in own)
+                yield out(row, a, b, h, np.zeros(len(h)))
+                own = [x[~again] for x in own]
             own = own if held is None else [np.concatenate(x) for x in zip(held, own, strict=True)]
             h = own[0]
+            if not len(h):
+                continue
             last = int(np.searchsorted(h != h[-1], False)) if h[0] == h[-1] else len(h) - int(np.argmax(h[::-1] != h[-1]))
             if last:
-                out, _ = settle(*(x[:last] for x in own), True)
-                if out.num_rows:
-                    yield out
+                some, _ = settle(*(x[:last] for x in own), True)
+                if some.num_rows:
+                    yield some
             held = [x[last:] for x in own]
             if len(held[0]) > most:
-                out, n = settle(*held, False)
-                yield out
+                some, n = settle(*held, False)
+                yield some
                 held = [x[n:] for x in held] if n < len(held[0]) else None
         if held is not None and len(held[0]):
-            out, _ = settle(*held, True)
-            if out.num_rows:
-                yield out
-        elif known is not None:
-            known = None
+            some, _ = settle(*held, True)
+            if some.num_rows:
+                yield some
 
-    return found.repartition("h").sortWithinPartitions("h", "c").mapInArrow(over, "row long, a int, b int, h long, kind int")
+    anywhere = F.when(F.col("again"), F.pmod(F.xxhash64("row", "a"), F.lit(1 << 20))).otherwise(F.lit(0))
+    return found.withColumn("_deal", anywhere).repartition("h", "_deal").sortWithinPartitions("h", "c", "d").drop("_deal").mapInArrow(over, "row long, a int, b int, h long, kind int")
 
 
 # ---- suffix sort
@@ -334,16 +350,15 @@ def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
 
 def contexts(docs: DataFrame, wanted: DataFrame, settings: DedupSettings) -> DataFrame:
     """The open records with their bytes. Only the texts of rows that the filter lets through are shuffled."""
-    spark = docs.sparkSession
     bits = settings.bloom_bits
-    shared = spark.sparkContext.broadcast(bloom.build(wanted, "row", bits))
+    shared = docs.sparkSession.sparkContext.broadcast(bloom.build(wanted, "row", bits))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(bloom.may_hold(shared.value, batch.column(0).to_numpy(), bits)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 1):
             h, row, a, b, kind, data = [], [], [], [], [], []
             for r, text, runs in zip(batch.column(0).to_pylist(), _binary(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 for x in runs:
@@ -355,14 +370,13 @@ def contexts(docs: DataFrame, wanted: DataFrame, settings: DedupSettings) -> Dat
                     data.append(text[x["a"] : x["b"] + settings.length])
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(row, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], ["h", "row", "a", "b", "kind", "data"])
 
-    runs = wanted.groupBy("row").agg(F.collect_list(F.struct("h", "a", "b", "kind")).alias("runs"))
-    _batches(spark, 128)
+    runs = wanted.groupBy("row").agg(F.collect_set(F.struct("h", "a", "b", "kind")).alias("runs"))
     texts = docs.select("row", "text").mapInArrow(pick, "row long, text string").dropDuplicates(["row"])
     return texts.join(runs, "row").select("row", "text", "runs").mapInArrow(cut, "h long, row long, a int, b int, kind int, data binary")
 
 
 def resolve(opened: DataFrame, settings: DedupSettings) -> DataFrame:
-    """row, a, b of the repeated windows of open records: the suffix sort, for anchors of few contexts."""
+    """row, a, b of the repeated windows of open records, by the suffix sort of each group ``h``."""
     most = 1 << 18
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,51 +398,69 @@ def resolve(opened: DataFrame, settings: DedupSettings) -> DataFrame:
         if held:
             yield sort(held)
 
-    _batches(opened.sparkSession, 4096)
     return opened.repartition("h").sortWithinPartitions("h").mapInArrow(over, "row long, a int, b int")
 
 
-def count_windows(opened: DataFrame, settings: DedupSettings) -> DataFrame:
-    """row, a, b of the repeated windows of open records, for anchors of very many contexts: windows are counted by digest."""
-    length = settings.length
+def split(opened: DataFrame, settings: DedupSettings) -> DataFrame:
+    """The rows of hot groups, halved: windows whose anchor is at ``low`` to ``high`` bytes from their start are cut in the middle, and each half is dealt by the bytes that all its windows have in common.
 
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, at, kind, digest = [], [], [], []
-            for _, r, a, _, k, data in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                for s in range(len(data) - length + 1):
-                    row.append(r)
-                    at.append(a + s)
-                    kind.append(k)
-                    digest.append(hashlib.blake2b(data[s : s + length], digest_size=16).digest())
-            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(at, pa.int32()), pa.array(kind, pa.int32()), pa.array(digest, pa.binary())], ["row", "a", "kind", "digest"])
+    Of windows that are equal, the anchor is at the same place and the common bytes are the same, so they stay together.
+    """
+    length, gram = settings.length, settings.gram
 
-    each = written(opened.mapInArrow(over, "row long, a int, kind int, digest binary"), "windows")
-    twice = each.groupBy("digest").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("digest")
-    return each.where("kind = 1").join(twice, "digest").select("row", "a", F.col("a").alias("b"))
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, 5):
+            out: list[tuple] = []
+            held = [x or b"" for x in batch.column(5).to_pylist()]
+            every = np.frombuffer(b"".join(held), np.uint8)
+            p = prefix_hashes(every)
+            n = len(every) - gram + 1
+            keys = _mix((p[gram:] - p[:n]) * _powers(len(every) + 1)[1][:n]) & ~U((1 << _PLACE) - 1)
+            begins = np.cumsum([0, *map(len, held)])[:-1]
+            anchors = keys[begins[:, None] + np.arange(length - gram + 1)].argmin(axis=1)
+            for (row, a, b, kind, low, high), data, anchor in zip(zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4, 6, 7)), strict=True), held, anchors.tolist(), strict=True):
+                middle = (low + high) // 2
+                for lo, hi in ((low, middle), (middle + 1, high)):
+                    # window i has its anchor at anchor - i
+                    first, last = max(0, anchor - hi), min(b - a, anchor - lo)
+                    if lo <= hi and first <= last:
+                        core = hashlib.blake2b(data[anchor - lo : anchor - hi + length] + bytes([lo % 256, hi % 256]), digest_size=8).digest()
+                        out.append((int.from_bytes(core, "little", signed=True), row, a + first, a + last, kind, data[first : last + length], lo, hi))
+            columns = list(zip(*out, strict=True)) or [()] * 8
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], ["h", "row", "a", "b", "kind", "data", "low", "high"])
+
+    return opened.select("h", "row", "a", "b", "kind", "data", "low", "high").mapInArrow(over, "h long, row long, a int, b int, kind int, data binary, low int, high int")
+
+
+def _sorted_groups(rows: DataFrame, settings: DedupSettings) -> list[DataFrame]:
+    """The repeated windows of open contexts, in parts: each group of at most ``hot`` contexts is sorted, others are halved first."""
+    found = []
+    rows = rows.withColumns({"low": F.lit(0), "high": F.lit(settings.length - settings.gram)})
+    while True:
+        hot = written(rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > settings.hot).select("h"), "hot")
+        if hot.isEmpty():
+            return [*found, written(resolve(rows.select("h", "row", "a", "b", "kind", "data"), settings), "repeats")]
+        found.append(written(resolve(rows.join(hot, "h", "left_anti").select("h", "row", "a", "b", "kind", "data"), settings), "repeats"))
+        halves = written(split(rows.join(hot, "h", "left_semi"), settings), "halves")
+        same = written(halves.groupBy("h", "data", "low", "high").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "a", "b", "kind")).alias("one")), "halves")
+        found.append(halves.where("kind = 1").join(same.where("n > 1").select("h", "data"), ["h", "data"], "left_semi").select("row", "a", "b"))
+        several = same.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
+        rows = same.join(several, "h", "left_semi").select("h", "one.row", "one.a", "one.b", F.when(F.col("n") > 1, 2).otherwise(F.col("one.kind")).alias("kind"), "data", "low", "high")
 
 
 def repeated_runs(docs: DataFrame, settings: DedupSettings) -> DataFrame:
     """row, a, b: the first and last window of runs of repeated windows; docs have row and text."""
-    spark = docs.sparkSession
-    _batches(spark, BATCH_ROWS)
-    found = records(docs, settings)
-    kinds = written(_at(65_536, spark, lambda: classify(found)), "runs")
+    kinds = written(classify(records(docs, settings)), "runs")
     opened = kinds.where("kind > 0")
     runs = kinds.where("kind = 0").select("row", "a", "b")
     if opened.isEmpty():
         return runs
     rows = written(contexts(docs, opened.select("h", "row", "a", "b", "kind"), settings), "contexts")
-    hot = opened.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > settings.hot).select("h")
-    if hot.isEmpty():
-        return runs.unionByName(written(resolve(rows, settings), "repeats"))
-    few, many = rows.join(hot, "h", "left_anti"), rows.join(hot, "h", "left_semi").select("h", "row", "a", "b", "kind", "data")
-    return runs.unionByName(written(resolve(few.select("h", "row", "a", "b", "kind", "data"), settings), "repeats")).unionByName(written(count_windows(many, settings), "repeats"))
-
-
-def _at(rows: int, spark: SparkSession, make):
-    _batches(spark, rows)
-    return make()
+    for part in _sorted_groups(rows, settings):
+        runs = runs.unionByName(part)
+    drop_scratch(docs.sparkSession, rows)
+    return runs
 
 
 def strip_repeats(docs: DataFrame, settings: DedupSettings = DedupSettings(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -456,7 +488,7 @@ def strip_repeats(docs: DataFrame, settings: DedupSettings = DedupSettings(), ke
         return pa.RecordBatch.from_arrays([ids, pa.array([len(t) for t in texts], pa.int64()), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([hashlib.sha256(g[2]).hexdigest() for g in got], pa.string()), pa.array([g[2] for g in got], pa.binary())], names)
 
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 2):
             batch = batch.filter(pa.array(~bloom.may_hold(shared.value, batch.column(0).to_numpy(), bits)))
             if batch.num_rows:
                 yield made(batch.column(1), _binary(batch.column(2)), [[]] * batch.num_rows)
@@ -466,12 +498,11 @@ def strip_repeats(docs: DataFrame, settings: DedupSettings = DedupSettings(), ke
             yield batch.filter(pa.array(bloom.may_hold(shared.value, batch.column(0).to_numpy(), bits)))
 
     def applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 1):
             yield made(batch.column(0), _binary(batch.column(1)), batch.column(2).to_pylist())
 
-    _batches(spark, 128)
     rows = own.select("row", "doc_id", "text")
-    spans = runs.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    spans = runs.groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     hit = rows.mapInArrow(touched, f"row long, doc_id {kind}, text string").join(spans, "row", "left").select("doc_id", "text", "spans").mapInArrow(applied, schema)
     return rows.mapInArrow(untouched, schema).unionByName(hit)
 

@@ -338,6 +338,25 @@ def test_suffix_dedup_against_brute_force(spark, hot, segment):
         assert r.kept_sha256 == hashlib.sha256(want[3]).hexdigest()
 
 
+def test_suffix_dedup_of_many_near_copies(spark):
+    # one passage in thousands of documents, in different surroundings and cut at different places: its anchors are hot
+    rng = random.Random(5)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(45))
+    around = lambda n: "".join(rng.choice("ijklmnop ") for _ in range(n))
+    texts = [around(rng.randint(0, 12)) + passage[rng.randint(0, 14) : len(passage) - rng.randint(0, 14)] + around(rng.randint(0, 12)) for _ in range(2500)]
+    settings = suffix_dedup.DedupSettings(length=24, gram=8, hot=50)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.strip_repeats(rows_of(spark, texts), settings).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_strip(texts, 24)
+
+
+def test_suffix_dedup_of_repeated_rows_and_long_texts(spark):
+    rng = random.Random(6)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(3_000_000))
+    rows = spark.createDataFrame([(1, long)] + [(2, long[1000:1500])] * 30 + [(3, long[2_999_700:] + "z")], DOC)
+    got = sorted({(r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.report(rows).collect()})
+    assert got == [(1, 3_000_000, 800, 2), (2, 500, 500, 1), (3, 301, 300, 1)]
+
+
 def test_suffix_dedup_edges(spark):
     assert suffix_dedup.report(rows_of(spark, ["x"]).limit(0)).count() == 0
     long = "".join(random.Random(1).choice("abcdefgh ") for _ in range(400))
@@ -349,9 +368,12 @@ def test_suffix_dedup_edges(spark):
 def test_classify_holds_back_any_amount(spark, most):
     rng = random.Random(most)
     rows = [(rng.randint(0, 8), rng.randint(0, 4), i, i, i) for i in range(300)] + [(99, 1, 1000 + i, i, i) for i in range(60)] + [(100, 5, 2000, 1, 1)]
-    df = spark.createDataFrame(rows, "h long, c long, row long, a int, b int")
+    df = spark.createDataFrame(rows, "h long, c long, row long, a int, b int").select("h", F.lit(3).cast("long").alias("c"), F.col("c").alias("d"), "row", "a", "b", F.col("row").between(1040, 1059).alias("again"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
-    got = suffix_dedup.classify(df, most).collect()
+    try:
+        got = suffix_dedup.classify(df, most).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     classes, anchors = Counter(r[:2] for r in rows), {}
     for h, c in classes:
         anchors.setdefault(h, set()).add(c)
