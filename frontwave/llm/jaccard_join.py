@@ -59,9 +59,9 @@ class JoinSettings:
     words: int = 5
     num: int = 80
     den: int = 100
-    heavy: int = 65_536
+    heavy: int = 262_144
     heavy_least: int = 8
-    short: int = 16
+    short: int = 48
     window: int = 48
     looser: int = 10
     part: int = 65_536
@@ -74,7 +74,7 @@ class JoinSettings:
 
     def extra(self, n):
         """How many grams beyond the first a prefix must share."""
-        return np.minimum(n // 256, 7)
+        return np.minimum(n // 128, 7)
 
     def prefix(self, n):
         return n - -(-self.num * n // self.den) + 1 + self.extra(n)
@@ -171,8 +171,8 @@ def _row_key(doc_id, digest: bytes) -> int:
 
 
 def _ranges(grams: np.ndarray) -> bytes:
-    """How many grams are in each of 16 to 256 equal ranges of the hash space, two to four of them a range where that is enough, 255 at most."""
-    bits = min(8, max(4, (len(grams) // 4).bit_length()))
+    """How many grams are in each of 16 to 4096 equal ranges of the hash space, two to four of them a range where that is enough, 255 at most."""
+    bits = min(12, max(4, (len(grams) // 4).bit_length()))
     return np.minimum(np.bincount((grams >> U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
@@ -229,15 +229,15 @@ def profiles(docs: DataFrame, settings: JoinSettings) -> DataFrame:
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, counts = shared.value
-        seldom = np.ones(1 << 20, bool)
-        seldom[heavy >> U(44)] = False
+        seldom = np.ones(1 << 22, bool)
+        seldom[heavy >> U(42)] = False
         seen: set[int] = set()
         for batch in batches:
             for part in parts(batch, 1):
                 grams, at = gram_sets(*table_of_texts(part.column(1)), settings.words)
                 weight = np.zeros(len(grams), np.int64)
                 if len(heavy) and len(grams):
-                    maybe = np.flatnonzero(~seldom[grams >> U(44)])
+                    maybe = np.flatnonzero(~seldom[grams >> U(42)])
                     place = np.minimum(np.searchsorted(heavy, grams[maybe]), len(heavy) - 1)
                     weight[maybe] = np.where(heavy[place] == grams[maybe], counts[place], 0)
                 row, node, ranges, prefix = [], [], [], []
@@ -436,8 +436,8 @@ def cross_edges(long: DataFrame, labels: DataFrame, settings: JoinSettings, side
     return spread_out.mapInArrow(_by_group(4, met), "a long, b long")
 
 
-def _by_group(keys: int, made):
-    """A function for ``mapInArrow`` over rows sorted by their first ``keys`` columns: ``made`` of the rows of each group."""
+def _by_group(keys: int, made, different: int = 0):
+    """A function for ``mapInArrow`` over rows sorted by their first ``keys`` columns: ``made`` of the rows of each group; of rows that follow each other with the same ``different`` first columns, one."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -448,6 +448,8 @@ def _by_group(keys: int, made):
                     if held and held[-1][:keys] != r[:keys]:
                         yield made(held)
                         held = []
+                    elif held and different and held[-1][:different] == r[:different]:
+                        continue
                     held.append(r)
         if held:
             yield made(held)
@@ -481,7 +483,7 @@ def groups(every: DataFrame, settings: JoinSettings) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, settings: JoinSettings) -> DataFrame:
-    """node, grams: the whole sets of the nodes in question, made again from the texts.
+    """node, grams: the whole sets of the nodes in question, made again from the texts; a set may come once from each task.
 
     The scan passes over all others by a Bloom filter of fixed size (a set let through by mistake finds no group).
     """
@@ -490,19 +492,16 @@ def sets_of(docs: DataFrame, nodes: DataFrame, settings: JoinSettings) -> DataFr
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
-            for part in parts(batch, 0):
-                grams, at = gram_sets(*table_of_texts(part.column(0)), size)
-                ends = at.tolist()
-                keys = np.array([_node(_digest(grams[a:b])) for a, b in zip(ends, ends[1:], strict=False)], np.int64)
-                keep = [i for i in np.flatnonzero(bloom.may_hold(shared.value, keys, bits)).tolist() if ends[i] < ends[i + 1] and not (keys[i] in seen or seen.add(keys[i]))] if len(keys) else []
-                if len(seen) >= 1_000_000:
-                    seen.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(keys[keep], pa.int64()), pa.array([grams[ends[i] : ends[i + 1]].tobytes() for i in keep], pa.binary())], ["node", "grams"])
-
-    out = written(docs.select("text").mapInArrow(over, "node long, grams binary").dropDuplicates(["node"]), "sets")
-    shared.destroy()
-    return out
+        for part in bounded(batches, 0):
+            grams, at = gram_sets(*table_of_texts(part.column(0)), size)
+            ends = at.tolist()
+            keys = np.array([_node(_digest(grams[a:b])) for a, b in zip(ends, ends[1:], strict=False)], np.int64)
+            keep = [i for i in np.flatnonzero(bloom.may_hold(shared.value, keys, bits)).tolist() if ends[i] < ends[i + 1] and not (keys[i] in seen or seen.add(keys[i]))]
+            if len(seen) >= 1_000_000:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(keys[keep], pa.int64()), pa.array([grams[ends[i] : ends[i + 1]].tobytes() for i in keep], pa.binary())], ["node", "grams"])
+
+    return docs.select("text").mapInArrow(over, "node long, grams binary")
 
 
 def tile_links(left: list[np.ndarray], right: list[np.ndarray], settings: JoinSettings, columns: int = 1024, pairs: int = 4_000_000) -> np.ndarray:
@@ -575,15 +574,14 @@ def _spanning(hit: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
 
 
 def block_links(made: DataFrame, members: DataFrame, settings: JoinSettings, side: int = 4096, most: int = 2_000_000, tile: int = 1024) -> DataFrame:
-    """a, b, links: with how many nodes of its group each node a links (b is null), and links (a, b) that span all of the block (links is null). ``members`` has node, label.
+    """a, b, links: with how many nodes of its group each node a links (b is null), and links (a, b) that span all of the block (links is null). ``members`` has node, label, n.
 
     A group is cut into parts of about ``side`` nodes and at most about ``most`` grams; each two parts meet in one block,
-    and a block is worked off in tiles. So each pair of a group is verified once.
+    and a block is worked off in tiles. So each pair of a group is verified once. ``made`` may hold a set more than once.
     """
     num, den = settings.num, settings.den
-    sized = members.join(made.select("node", F.length("grams").alias("bytes")), "node")
-    cut = sized.groupBy("label").agg(F.ceil(F.greatest(F.count(F.lit(1)) / side, F.sum("bytes") / (8 * most))).cast("long").alias("parts"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    dealt = sized.join(cut, "label").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    cut = members.groupBy("label").agg(F.ceil(F.greatest(F.count(F.lit(1)) / side, F.sum("n") / most)).cast("long").alias("parts"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    dealt = members.join(cut, "label").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     rows = met.select("label", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "node").join(made, "node").select("label", "x", "y", "part", "node", "grams")
 
@@ -616,19 +614,17 @@ def block_links(made: DataFrame, members: DataFrame, settings: JoinSettings, sid
         none = lambda n: pa.nulls(n, pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([each, a])), pa.concat_arrays([none(len(each)), pa.array(b)]), pa.concat_arrays([pa.array(total), none(len(a))])], ["a", "b", "links"])
 
-    spread = rows.repartition("label", "x", "y").sortWithinPartitions("label", "x", "y")
-    return written(spread.mapInArrow(_by_group(3, block), "a long, b long, links long"), "found")
+    spread = rows.repartition("label", "x", "y").sortWithinPartitions("label", "x", "y", "part", "node")
+    return written(spread.mapInArrow(_by_group(3, block, 5), "a long, b long, links long"), "found")
 
 
 def similar_classes(docs: DataFrame, settings: JoinSettings = JoinSettings(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, row, n_shingles, component_id (the least id of the component), label (a component's number), n_links (the number of other sets that the document's set links with)."""
-    spark = docs.sparkSession
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     every = profiles(docs, settings)
     members = groups(every, settings)
-    made = sets_of(docs, members, settings)
-    found = block_links(made, members, settings)
-    drop_scratch(spark, made)
+    sizes = every.where("prefix is not null").select("node", "n").join(members, "node").groupBy("node", "label").agg(F.max("n").alias("n"))
+    found = block_links(sets_of(docs, members, settings), written(sizes, "members"), settings)
     labels = components(found.where("b is not null").select("a", "b"))
     degree = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     placed = every.select("doc_id", "row", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

@@ -166,7 +166,8 @@ def test_link_counts_in_blocks(spark):
     settings = jaccard_join.JoinSettings(words=3, num=70, den=100)
     texts = list(dict.fromkeys(near_copies(rng, 60, 8) + near_copies(rng, 30, 8)))
     made = spark.createDataFrame([(i, bytearray(jaccard_join.gram_set(t, 3).tobytes())) for i, t in enumerate(texts)], "node long, grams binary")
-    members = spark.createDataFrame([(i, 0) for i in range(len(texts))], "node long, label long")
+    members = spark.createDataFrame([(i, 0, len(jaccard_join.gram_set(t, 3))) for i, t in enumerate(texts)], "node long, label long, n long")
+    made = made.unionByName(made.where("node % 3 = 0"))
     _, want = brute_components(texts, 3, 70, 100)
     for sizes in ({}, {"side": 20, "tile": 7}, {"most": 1500}, {"side": 50, "tile": 30}):
         found = jaccard_join.block_links(made, members, settings, **sizes)
