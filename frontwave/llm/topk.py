@@ -7,16 +7,19 @@ blocks, each an annulus [low, high] around its pivot, and written to the shared
 bounded sample; every row is indexed.
 
 Search: queries are indexed the same way into query blocks. A query at distance d from a pivot cannot be nearer to an
-annulus's rows than ``max(0, d - high, low - d)``, so no row there can score more than ``(|q|^2 + M - gap^2) / 2``. The nearest annuli
-are searched first; then annuli are expanded outwards in rounds, and a query stops at those whose bound is below its k-th score. Bounds are
-floating-point with a margin, scores are integers, so the result is exact, ties included. A stated query set meets all
-rows in blocks; a pair of blocks that no query of the block can gain from is never joined.
+annulus's rows than ``max(0, d - high, low - d)``, so no row there can score more than ``(|q|^2 + M - gap^2) / 2``. A query block looks
+at its nearest annuli first and goes outwards in rounds, each of four times as many annuli; before a round, annuli whose bound
+is below the k-th score of the block's worst-off query are dropped, and rows below their query's own k-th score do not leave
+a task. In a round an annulus's rows cross the shuffle once, and its query blocks come to it. Bounds are floating-point with
+a margin for rounding, scores are integers, so the result is exact, ties included. A stated query set meets all rows in
+blocks; a pair of blocks that no query of the block can gain from is never joined.
 
 Defined results: vectors that are null, or hold a null or non-finite component, take no part, neither as rows nor as
 queries; vectors of fewer components than the longest are padded with zeros; an empty vector scores 0 with all; fewer than k
 other rows give fewer results; equal scores are ranked by the smaller id, then by place among repeated rows; a query is every row whose id
 is divisible by ``every``; rows with a null id take no part; all rows that share the query's id are left out of its candidates; an empty table gives an
-empty result. Extra columns are not read. Scores must stay below 2**52.
+empty result. Extra columns are not read. Scores are exact as long as the largest squared norm is below 2**63 (beyond 2**53 by 64-bit
+products in place of floating-point ones); beyond that, where a score may not fit 64 bits, an error is raised.
 """
 
 from __future__ import annotations
@@ -26,10 +29,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_unit, written
+from .common import bounded, hash_unit, written
 
 
 @dataclass(frozen=True)
@@ -51,7 +54,7 @@ def integers(vectors: DataFrame, settings: TopSettings, key: str = "vec_id", vec
     real = F.transform(F.col(vector), lambda x: x.cast("double"))
     fit = F.col(key).isNotNull() & F.col(vector).isNotNull() & F.forall(real, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     whole = vectors.where(F.coalesce(fit, F.lit(False))).select(F.col(key).cast("long").alias("vec_id"), F.transform(real, lambda x: F.floor(x * settings.scale)).alias("x"))
-    return whole.withColumn("norm", F.aggregate("x", F.lit(0).cast("long"), lambda a, x: a + x * x))
+    return whole.withColumn("norm", F.aggregate("x", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
 
 
 def _dense(arrays: list, dim: int) -> np.ndarray:
@@ -82,8 +85,13 @@ def _lengthened(x: np.ndarray, norm: np.ndarray, most: float) -> np.ndarray:
 
 
 def _distances(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    square = (points**2).sum(axis=1)[:, None] + (pivots**2).sum(axis=1)[None, :] - 2 * points @ pivots.T
-    return np.sqrt(np.maximum(square, 0))
+    """By differences, so that the relative error stays that of a sum, however near a point is."""
+    return np.column_stack([np.sqrt(((points - p) ** 2).sum(axis=1)) for p in pivots])
+
+
+def _kind(most: float) -> str:
+    """The type of a stored component."""
+    return "<i4" if most < 2.0**61 else "<i8"
 
 
 def index(rows: DataFrame, pivots: np.ndarray, dim: int, most: float, size: int, parts: int, name: str, query: bool = False) -> DataFrame:
@@ -96,7 +104,7 @@ def index(rows: DataFrame, pivots: np.ndarray, dim: int, most: float, size: int,
             norm = batch.column(2).to_numpy().astype(float)
             d = _distances(_lengthened(x, norm if not query else np.full(len(x), most), most), shared.value)
             near = d.argmin(axis=1)
-            data = [r.tobytes() for r in x.astype("<i4")]
+            data = [r.tobytes() for r in x.astype(_kind(most))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(d)), near]), pa.array(data, pa.binary())], ["vec_id", "pivot", "distance", "data"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,59 +132,78 @@ def index(rows: DataFrame, pivots: np.ndarray, dim: int, most: float, size: int,
     return written(blocks.withColumn("block", F.monotonically_increasing_id()), name)
 
 
-def _matrix(data: bytes, n: int, dim: int) -> np.ndarray:
-    return np.frombuffer(data, "<i4").reshape(n, dim).astype(np.float64)
+def _matrix(data: bytes, n: int, dim: int, most: float) -> np.ndarray:
+    """A block's vectors, in a type in which inner products are exact."""
+    return np.frombuffer(data, _kind(most)).reshape(n, dim).astype(np.float64 if most < 2.0**53 else np.int64)
 
 
 def bounds(queries: DataFrame, annuli: DataFrame, pivots: np.ndarray, dim: int, most: float) -> DataFrame:
-    """block_q, block, bound: the most that any query of a block could score in an annulus, and the rank of the annulus for the block.
+    """block_q, block, bound: the most that any query of a block could score in an annulus, and how far away the annulus is.
 
-    Annuli meet query blocks by pivot: a query block works out its distances to all pivots (a fixed number) once. Margins cover rounding.
+    Annuli meet query blocks by pivot: a query block works out its distances to all pivots (a fixed number) once.
     """
     shared = queries.sparkSession.sparkContext.broadcast(pivots)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 2):
             out = []
             for block, n, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                x = _matrix(data, n, dim)
+                x = _matrix(data, n, dim, most).astype(float)
                 d = _distances(np.column_stack([x, np.zeros(n)]), shared.value)
                 own = float((x**2).sum(axis=1).max())
                 out += [(block, p, float(d[:, p].min()), float(d[:, p].max()), own) for p in range(d.shape[1])]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64()), strict=True)] if out else [pa.array([], t) for t in (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64())], ["block_q", "pivot", "near", "far", "own"])
+            types = (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 5, types, strict=True)], ["block_q", "pivot", "near", "far", "own"])
 
     sides = queries.select("block", "n", "data").mapInArrow(over, "block_q long, pivot int, near double, far double, own double")
     gap = F.greatest(F.lit(0.0), F.col("near") - F.col("high"), F.col("low") - F.col("far"))
-    bound = (F.col("own") + F.lit(most) - gap * gap) / 2 * (1 + 1e-9) + 1
+    whole = F.col("own") + F.lit(most)
+    bound = (whole - gap * gap) / 2 + whole * F.lit(1e-14 * (dim + 16)) + 1
     return sides.join(annuli.select("block", "pivot", "low", "high"), "pivot").select("block_q", "block", bound.alias("bound"), gap.alias("gap"), F.abs((F.col("near") + F.col("far")) / 2 - (F.col("low") + F.col("high")) / 2).alias("away"))
 
 
-def search(pairs: DataFrame, queries: DataFrame, annuli: DataFrame, settings: TopSettings, dim: int, floors: DataFrame | None = None) -> DataFrame:
-    """query_id, vec_id, score: the k best of each query in each annulus of ``pairs`` (block_q, block); with ``floors`` (query_id, floor), scores below a query's floor are left out."""
+def _highest(score: np.ndarray, own: np.ndarray, floor: np.ndarray, k: int) -> np.ndarray:
+    """Which entries of each row are among its k highest (ties to the first places), not its own and not below its floor."""
+    score = np.where(own, np.iinfo(np.int64).min, score)
+    n = score.shape[1]
+    keep = (score >= floor[:, None]) & ~own
+    if k < n:
+        least = np.partition(score, n - k, axis=1)[:, n - k, None]
+        more, equal = score > least, score == least
+        keep &= more | (equal & (np.cumsum(equal, axis=1) <= k - more.sum(axis=1, keepdims=True)))
+    return keep
+
+
+def search(pairs: DataFrame, queries: DataFrame, annuli: DataFrame, floors: DataFrame, settings: TopSettings, dim: int, most: float, meet: int = 64) -> DataFrame:
+    """query_id, vec_id, score: the k best of each query in each annulus of ``pairs`` (block_q, block), but for scores below the query's floor (``floors`` has block_q, floors: one for each query of the block).
+
+    An annulus goes to one task for each ``meet`` query blocks that look at it, followed by these.
+    """
     k = settings.k
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        place, own_ids, own = None, np.empty(0, np.int64), None
+        for batch in bounded(batches, 6):
             out: list[list[np.ndarray]] = []
-            for nq, qi, qd, n, ids, data in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                q_ids, v_ids = np.frombuffer(qi, "<i8"), np.frombuffer(ids, "<i8")
-                score = (_matrix(qd, nq, dim) @ _matrix(data, n, dim).T).astype(np.int64)
-                own = q_ids[:, None] == v_ids[None, :]
-                # one number ranks by score, then by place in the block, which is by id
-                rank = score * n + (n - 1 - np.arange(n))[None, :]
-                rank[own] = -np.iinfo(np.int64).max
-                m = min(k, n)
-                best = np.argpartition(-rank, m - 1, axis=1)[:, :m] if m < n else np.broadcast_to(np.arange(n), (nq, n))
-                flat = np.repeat(np.arange(nq), best.shape[1]), best.ravel()
-                keep = ~own[flat]
-                out.append([q_ids[flat[0][keep]], v_ids[flat[1][keep]], score[flat][keep]])
+            for block, part, asks, floor, n, ids, data in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                if not asks:
+                    place, own_ids, own = (block, part), np.frombuffer(ids, "<i8"), _matrix(data, n, dim, most)
+                    continue
+                if place != (block, part):
+                    raise ValueError("an annulus is missing")
+                q_ids = np.frombuffer(ids, "<i8")
+                score = (_matrix(data, n, dim, most) @ own.T).astype(np.int64)
+                row, column = np.nonzero(_highest(score, q_ids[:, None] == own_ids[None, :], np.array(floor, np.int64), k))
+                out.append([q_ids[row], own_ids[column], score[row, column]])
             cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "vec_id", "score"])
 
-    pairs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
-    q = queries.select(F.col("block").alias("block_q"), F.col("n").alias("n_q"), F.col("ids").alias("ids_q"), F.col("data").alias("data_q"))
-    both = pairs.select("block_q", "block").join(q, "block_q").join(annuli.select("block", "n", "ids", "data"), "block")
-    return both.select("n_q", "ids_q", "data_q", "n", "ids", "data").mapInArrow(over, "query_id long, vec_id long, score long")
+    asked = pairs.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / meet).cast("long").alias("parts"))
+    dealt = pairs.select("block_q", "block").join(asked, "block").select("block_q", "block", F.pmod(F.xxhash64("block_q"), F.col("parts")).alias("part"))
+    comes = queries.select(F.col("block").alias("block_q"), "n", "ids", "data").join(floors, "block_q")
+    asks = dealt.join(comes, "block_q").select("block", "part", F.lit(True).alias("asks"), "floors", "n", "ids", "data")
+    held = annuli.join(asked, "block").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(False).alias("asks"), F.lit(None).cast("array<long>").alias("floors"), "n", "ids", "data")
+    return held.unionByName(asks).repartition("block", "part").sortWithinPartitions("block", "part", "asks").mapInArrow(over, "query_id long, vec_id long, score long")
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
@@ -187,36 +214,39 @@ def best(found: DataFrame, k: int) -> DataFrame:
 
 def top_k(vectors: DataFrame, settings: TopSettings = TopSettings(), key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score."""
-    spark: SparkSession = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     rows = written(integers(vectors, settings, key, vector), "vectors")
-    n, dim, most = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("x")), F.lit(0)), F.coalesce(F.max("norm"), F.lit(0))).first()
-    pivots = choose_pivots(rows, settings, dim, float(most))
+    n, dim, most = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("x")), F.lit(0)), F.coalesce(F.max("norm"), F.lit(0.0))).first()
+    if most >= 2.0**63:
+        raise ValueError("vectors so long that a score may not fit 64 bits")
+    pivots = choose_pivots(rows, settings, dim, most)
     parts = lambda count, size: max(1, -(-count // (4 * size)))
-    annuli = index(rows, pivots, dim, float(most), settings.block, parts(n, settings.block), "annuli")
+    annuli = index(rows, pivots, dim, most, settings.block, parts(n, settings.block), "annuli")
     asked = rows.where(F.col("vec_id") % settings.every == 0)
-    queries = index(asked, pivots, dim, float(most), settings.queries, parts(asked.count(), settings.queries), "queries", query=True)
-    pairs = written(bounds(queries, annuli, pivots, dim, float(most)), "bounds")
+    queries = index(asked, pivots, dim, most, settings.queries, parts(asked.count(), settings.queries), "queries", query=True)
     nearest = Window.partitionBy("block_q").orderBy("gap", "away", "block")
-    ranked = pairs.withColumn("_n", F.row_number().over(nearest))
-    found = written(best(search(ranked.where(F.col("_n") <= settings.near), queries, annuli, settings, dim), settings.k), "found")
-    # a query block goes on to the annuli in which its worst-off query could still gain
-    member = queries.select(F.col("block").alias("block_q"), "ids").mapInArrow(_members, "block_q long, query_id long")
-    floors = member.distinct().join(found.groupBy("query_id").agg(F.count(F.lit(1)).alias("c"), F.min("score").alias("floor")), "query_id", "left")
-    least = floors.groupBy("block_q").agg(F.min(F.when(F.col("c") >= settings.k, F.col("floor").cast("double")).otherwise(F.lit(float("-inf")))).alias("floor"))
-    rest = ranked.where(F.col("_n") > settings.near).join(least, "block_q").where(F.col("bound") >= F.col("floor")).select("block_q", "block")
-    every = found.select("query_id", "vec_id", "score").unionByName(best(search(rest, queries, annuli, settings, dim), settings.k).select("query_id", "vec_id", "score"))
-    return best(every, settings.k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    left = written(bounds(queries, annuli, pivots, dim, most).withColumn("place", F.row_number().over(nearest)), "bounds")
+    member = written(queries.select(F.col("block").alias("block_q"), "ids").mapInArrow(_members, "block_q long, place int, query_id long"), "members")
+    found, upto = None, settings.near
+    while True:
+        floor = F.lit(np.iinfo(np.int64).min)
+        known = member.withColumn("floor", floor) if found is None else member.join(found.groupBy("query_id").agg(F.count(F.lit(1)).alias("c"), F.min("score").alias("least")), "query_id", "left").withColumn("floor", F.when(F.col("c") >= settings.k, F.col("least")).otherwise(floor))
+        # a block's queries are at most settings.queries
+        floors = written(known.groupBy("block_q").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "floor"))), lambda x: x["floor"]).alias("floors")), "floors")
+        left = left.join(floors.select("block_q", F.array_min("floors").cast("double").alias("floor")), "block_q").where("bound >= floor").select("block_q", "block", "bound", "place")
+        now = search(left.where(F.col("place") <= upto), queries, annuli, floors, settings, dim, most)
+        found = written(best(now if found is None else found.unionByName(now), settings.k).select("query_id", "vec_id", "score"), "found")
+        left = written(left.where(F.col("place") > upto), "bounds")
+        if left.isEmpty():
+            return best(found, settings.k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        upto *= 4
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        block, ids = [], []
-        for b, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            got = np.frombuffer(raw, "<i8")
-            block += [b] * len(got)
-            ids.append(got)
-        yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int64))], ["block_q", "query_id"])
+        held = [np.frombuffer(raw, "<i8") for raw in batch.column(1).to_pylist()]
+        size = [len(x) for x in held]
+        place = np.concatenate([np.arange(n) for n in size]) if held else np.empty(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), size), pa.int64()), pa.array(place, pa.int32()), pa.array(np.concatenate(held) if held else np.empty(0, np.int64))], ["block_q", "place", "query_id"])
 
 
 def report_sql(embeddings: str = "embeddings", settings: TopSettings = TopSettings()) -> str:

@@ -301,6 +301,30 @@ def test_topk_against_brute_force(spark):
     assert [tuple(r) for r in topk.top_k(df.where("vec_id in (50, 3)")).collect()][0][:3] == (50, 1, 3)
 
 
+@pytest.mark.parametrize("scale", [1.0, 2.0**11, 2.0**14])
+def test_topk_of_long_vectors_and_ties(spark, scale):
+    rng = np.random.default_rng(4)
+    x = np.floor(rng.normal(0, 40, (200, 5))) * scale
+    x[100:] = x[rng.integers(0, 100, 100)]
+    x[150:] = 0.5
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.top_k(df, topk.TopSettings(block=16, queries=3, pivots=6, near=1, every=4)).orderBy("query_id", "rank").collect()]
+    whole = [[int(np.floor(256 * c)) for c in v] for v in x]
+    want = []
+    for q in range(0, 200, 4):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], whole[i], strict=True)), i) for i in range(200) if i != q)[:5]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
+    assert got == want
+
+
+def test_topk_of_components_beyond_32_bits(spark):
+    df = spark.createDataFrame([(0, [1e7, 0.0]), (1, [0.1, 0.0]), (2, [0.2, 0.0]), (3, [0.0, 2.0])], "vec_id long, embedding array<double>")
+    got = [tuple(r)[2:] for r in topk.top_k(df).orderBy("rank").collect()]
+    assert got == [(2, 130_560_000_000), (1, 64_000_000_000), (3, 0)]
+    with pytest.raises(ValueError, match="64 bits"):
+        topk.top_k(spark.createDataFrame([(0, [1e9])], "vec_id long, embedding array<double>"))
+
+
 # ---- suffix dedup
 
 
