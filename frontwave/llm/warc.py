@@ -5,15 +5,18 @@ so partitions are bounded). Filters on ``record_type``, ``record_id``, ``target_
 down when ``spark.sql.python.filterPushdown.enabled`` is set, and further header predicates come as options
 ``header.<Name>=<value>``. A partition parses a record's headers first; a record that a predicate rejects, or whose
 payload is not asked for, is skipped by its length: in plain files by a seek, in gzip members by the member length that
-this writer keeps in a header subfield (a foreign member without it is inflated in chunks and thrown away, never decoded).
+this writer keeps in a header subfield (a foreign member without it is inflated in chunks and thrown away, never decoded; it
+may hold several records, all of which are read).
 
 Option ``payload``: ``bytes`` (default), ``digest`` (checked against the header, then dropped) or ``none`` (never read).
 
-Writing: every task attempt writes files of its own name; the commit on the driver writes ``_FILES`` with the names of the
-successful attempts, and readers use only those. A lost executor's half-written files are therefore never read.
+Writing: every task attempt writes files of its own name; the commit on the driver writes a list ``_FILES-<job>`` with the
+names of the successful attempts, and readers use only files of such lists, all of them where there are several. So a lost
+executor's half-written files are never read, and jobs append to a path; mode ``overwrite`` removes what earlier jobs listed.
 
 Defined results: a null payload is written as an empty one; an empty table writes an archive of no records, which reads
-as an empty table; a null id or URL leaves its header out and reads as null; repeated rows become repeated records.
+as an empty table; a null id or URL leaves its header out and reads as null; repeated rows become repeated records. Long
+payloads are written and read whole, one at a time.
 """
 
 from __future__ import annotations
@@ -52,6 +55,16 @@ def open_store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}") if not path.startswith("file:/") or path.startswith("file://") else fs.FileSystem.from_uri("file://" + path[5:])
 
 
+def listed(store: fs.FileSystem, root: str) -> dict[str, list[str]]:
+    """The archive files in each list of a path."""
+    out = {}
+    for info in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+        if info.base_name.startswith(FILES):
+            with store.open_input_stream(f"{root}/{info.base_name}") as f:
+                out[info.base_name] = [n for n, _ in json.loads(f.read())]
+    return out
+
+
 # ---- writing
 
 
@@ -83,8 +96,8 @@ class Wrote(WriterCommitMessage):
 class WarcWriter(DataSourceArrowWriter):
     """Input columns: record_type, record_id, target_uri, payload (string or binary), payload_bytes, payload_digest, refers_to; any others named ``WARC-*`` become headers."""
 
-    def __init__(self, options):
-        self.path = options["path"]
+    def __init__(self, options, overwrite: bool = False):
+        self.path, self.overwrite = options["path"], overwrite
         self.gz = options.get("compression", "none") == "gzip"
         self.roll = int(options.get("roll_bytes", 128 << 20))
         self.date = options.get("date", "1970-01-01T00:00:00Z")
@@ -126,8 +139,13 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Wrote | None]) -> None:
         store, root = open_store(self.path)
         store.create_dir(root, recursive=True)
-        with store.open_output_stream(f"{root}/{FILES}") as out:
+        before = listed(store, root) if self.overwrite else {}
+        with store.open_output_stream(f"{root}/{FILES}-{uuid.uuid4().hex}") as out:
             out.write(json.dumps(sorted(f for m in messages if m for f in m.files)).encode())
+        for name, files in before.items():
+            store.delete_file(f"{root}/{name}")
+            for file in files:
+                store.delete_file(f"{root}/{file}")
 
     def abort(self, messages: list[Wrote | None]) -> None:
         store, root = open_store(self.path)
@@ -170,23 +188,24 @@ class Plain:
 
 
 class Members:
-    """Records of a gzip file with one member per record."""
+    """Records of a gzip file; a member holds one record or several."""
 
     def __init__(self, stream):
         self.stream, self.at, self.end = stream, 0, stream.size()
+        self.inside = False  # whether the open member holds another record, whose first bytes are in ``out``
 
     def head(self) -> bytes | None:
-        if self.at >= self.end:
-            return None
-        self.stream.seek(self.at)
-        raw = self.stream.read(CHUNK)
-        if raw[:2] != b"\x1f\x8b":
-            raise ValueError("not a gzip member")
-        own = raw[3] & 4 and raw[12:14] == SUBFIELD
-        self.next = self.at + struct.unpack("<Q", raw[16:24])[0] if own else None
-        self.inflate, self.out = zlib.decompressobj(31), b""
-        self.fed = self.at + len(raw)
-        self.out = self.inflate.decompress(raw, 4096)
+        if not self.inside:
+            if self.at >= self.end:
+                return None
+            self.stream.seek(self.at)
+            raw = self.stream.read(CHUNK)
+            if raw[:2] != b"\x1f\x8b":
+                raise ValueError("not a gzip member")
+            own = raw[3] & 4 and raw[12:14] == SUBFIELD
+            self.next = self.at + struct.unpack("<Q", raw[16:24])[0] if own else None
+            self.inflate, self.fed = zlib.decompressobj(31), self.at + len(raw)
+            self.out = self.inflate.decompress(raw, 4096)
         while (cut := self.out.find(b"\r\n\r\n")) < 0:
             if not (piece := self.more(4096)):
                 raise ValueError("a WARC record is cut off")
@@ -216,11 +235,18 @@ class Members:
         return self.out[self.cut : self.cut + length]
 
     def skip(self, length: int) -> None:
-        if self.next is None:
-            while self.more(CHUNK):
-                pass
-            self.next = self.fed - len(self.inflate.unused_data)
-        self.at = self.next
+        if self.next is not None:
+            self.at = self.next
+            return
+        past, rest = self.cut + length + 4, self.out
+        while len(rest) < past and (piece := self.more(CHUNK)):
+            past, rest = max(0, past - len(rest)), piece
+        rest = rest[past:].lstrip(b"\r\n")
+        while not rest and (piece := self.more(4096)):
+            rest = piece.lstrip(b"\r\n")
+        self.out, self.inside = rest, bool(rest)
+        if not rest:
+            self.at = self.fed - len(self.inflate.unused_data)
 
 
 def parsed(head: bytes) -> dict[str, str]:
@@ -261,9 +287,8 @@ class WarcReader(DataSourceReader):
         info = store.get_file_info(root)
         if info.type == fs.FileType.File:
             return [FilePartition(self.path)]
-        if store.get_file_info(f"{root}/{FILES}").type == fs.FileType.File:
-            with store.open_input_stream(f"{root}/{FILES}") as f:
-                names = [n for n, _ in json.loads(f.read())]
+        if lists := listed(store, root):
+            names = sorted(n for files in lists.values() for n in files)
         else:
             names = sorted(x.base_name for x in store.get_file_info(fs.FileSelector(root)) if x.base_name.endswith((".warc", ".warc.gz")))
         return [FilePartition(f"{self.path.rstrip('/')}/{n}") for n in names] or [FilePartition("")]
@@ -323,7 +348,7 @@ class WarcSource(DataSource):
         return WarcReader(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(dict(self.options))
+        return WarcWriter(dict(self.options), overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -353,10 +378,10 @@ def page_records(pages: DataFrame, min_revisit_bytes: int = 0, key: str = "page_
     )
 
 
-def write_warc(records: DataFrame, path: str, compression: str = "none", roll_bytes: int = 128 << 20) -> str:
+def write_warc(records: DataFrame, path: str, compression: str = "none", roll_bytes: int = 128 << 20, mode: str = "append") -> str:
     spark = records.sparkSession
     register(spark)
-    records.write.format("warc").mode("append").options(path=path, compression=compression, roll_bytes=str(roll_bytes)).save()
+    records.write.format("warc").mode(mode).options(path=path, compression=compression, roll_bytes=str(roll_bytes)).save()
     return path
 
 
