@@ -1,6 +1,7 @@
 """Secret scans, HTML extraction, WARC, packing, quality classifier."""
 
 import base64
+import gzip
 import hashlib
 import math
 import random
@@ -81,6 +82,65 @@ def test_tree_fits_its_table():
     assert np.mean([html_extract.kept(tree, r) == bool(v) for r, v in zip(x, y, strict=True)]) >= 0.95
 
 
+def test_html_tree_splits_on_links():
+    told = html_extract.told(html_extract.train(*html_extract.labelled()))
+    print(told)
+    assert "prev_link_density" in told and "next_link_density" in told and "words" in told and told.startswith("link_density")
+
+
+def test_html_features_by_brute_force():
+    for html, _ in html_extract.PAGES:
+        page = html_extract.blocks(html)
+        got = html_extract.features(page)
+        for i, b in enumerate(page):
+            near = [page[j] if 0 <= j < len(page) else None for j in (i, i - 1, i + 1)]
+            want = [x for n in near for x in ((len(n.text.split()), n.linked / len(n.text.split())) if n else (0, 0))]
+            assert got[i].tolist() == [*want, b.main, b.chrome, b.heading]
+    page = html_extract.blocks("<div>one two <a href=x>three <b>four</b></a> five</div><a href=y><div>six</div>seven</a> eight<p><a>nine<p>ten")
+    assert [(b.text, b.linked) for b in page] == [("one two three four five", 2), ("six", 1), ("seven eight", 1), ("nine", 1), ("ten", 0)]
+
+
+def unmarked(rng):
+    """A page of plain divisions, and the label of each block."""
+    say = lambda lo, hi: " ".join("".join(rng.choice("abcdeghilmnorstu") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(lo, hi)))
+    link = lambda lo, hi: f"<div><a href='/{rng.randint(0, 99)}'>{say(lo, hi)}</a></div>"
+    card = lambda: f"<a href='/c'><div>{say(4, 20)}</div></a>"
+    out, labels = [link(1, 5) for _ in range(rng.randint(2, 8))], []
+    labels += [0] * len(out)
+    out.append(f"<h1>{say(2, 8)}</h1>")
+    labels.append(1)
+    for i in range(rng.randint(4, 12)):
+        short = i and rng.random() < 0.2
+        out.append(f"<div>{say(3, 6) if short else say(18, 70)}</div>")
+        labels.append(1)
+        if not short and rng.random() < 0.3:
+            out[-1] = out[-1].replace("</div>", f" <a href='/x'>{say(1, 3)}</a></div>")
+    more = [rng.choice([card, lambda: link(1, 6), lambda: link(12, 25)])() for _ in range(rng.randint(2, 9))]
+    return "<body>" + "".join(out + more) + "</body>", labels + [0] * len(more)
+
+
+def test_html_unmarked_pages_held_out():
+    tree, rng = html_extract.train(*html_extract.labelled()), random.Random(8)
+    right = []
+    for _ in range(60):
+        html, labels = unmarked(rng)
+        page = html_extract.blocks(html)
+        assert len(page) == len(labels)
+        right += [html_extract.kept(tree, r) == bool(y) for r, y in zip(html_extract.features(page), labels, strict=True)]
+    assert np.mean(right) >= 0.95
+
+
+def test_html_names_cards_and_unclosed_controls():
+    tree = html_extract.train(*html_extract.labelled())
+    long = "Many words stand in this paragraph so that nobody could take it for anything but a part of the article."
+    html = (
+        f"<nav><a href=/>Home</a></nav><article><h1>Title of it</h1><p>{long}</p><section id='related-work'><h2>Related work</h2><p>{long}</p></section>"
+        f"<div id='search-in-trees'><p>{long}</p></div><p>Sound: <audio src=x><p>{long}</p><button>Press<p>{long}</p><div class='related-posts'><p>{long}</p></div>"
+        "<a href=/t><div>A card that leads to another story, with a dozen words and more in its text</div></a></article><footer>x</footer>"
+    )
+    assert html_extract.main_text(html, tree) == "\n".join(["Title of it", long, "Related work", long, long, "Sound:", long, long])
+
+
 def test_html_held_out(spark):
     pages = [
         ("<nav><a href=/>Go</a></nav><article><h1>T &amp; co</h1><p>One\n two&nbsp;three <b>four</b>.<p>Ok.</p><div class='comment-list'><p>nice words from a reader of this page</p></div></article><footer>f</footer>", "T & co\nOne two three four.\nOk."),
@@ -124,6 +184,26 @@ def test_warc_round_trip(spark, compression):
     assert small[1] == "response" and small[4] == "response"
 
 
+def test_warc_jobs_append_and_overwrite(spark):
+    path = scratch(spark, "t")
+    pages = lambda ids: warc.page_records(spark.createDataFrame([(i, f"u{i}", f"text {i}") for i in ids], "page_id long, url string, html string"))
+    read = lambda: sorted(int(r.headers["WARC-X-Page-ID"]) for r in warc.read_warc(spark, path).collect())
+    warc.write_warc(pages([1]), path)
+    warc.write_warc(pages([2, 3]), path, "gzip")
+    assert read() == [1, 2, 3]
+    warc.write_warc(pages([4]), path, mode="overwrite")
+    assert read() == [4]
+
+
+def test_warc_members_of_several_records(spark, tmp_path):
+    make = lambda i, text: warc.record_bytes("response", f"<{i}>", "d", {"WARC-Payload-Digest": f"sha1:{digest(text)}", "Content-Type": "application/http"}, b"HTTP/1.1 200 OK\r\n\r\n", text.encode())
+    texts = ["a", "b" * 200_000, "", "c\r\n\r\nWARC/1.1", "d" * 70_000, "e"]
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(b"".join(make(i, t) for i, t in enumerate(texts[:4]))) + gzip.compress(make(4, texts[4]) + make(5, texts[5])) + warc.gzip_member(make(6, "own")))
+    for payload in ("bytes", "none"):
+        got = sorted((r.record_id, bytes(r.payload or b"").decode()) for r in warc.read_warc(spark, f"file://{tmp_path}", payload=payload).collect())
+        assert got == [(f"<{i}>", t if payload == "bytes" else "") for i, t in enumerate([*texts, "own"])]
+
+
 def test_warc_empty_repeated_and_damaged(spark, tmp_path):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_warc(spark, warc.write_warc(warc.page_records(empty), scratch(spark, "t"))).count() == 0
