@@ -105,21 +105,28 @@ def _bucket(ids: Column, tops: list, subs: list[list]) -> Column:
     return F.when(ids.isNull(), 0).otherwise(top * _FAN + F.size(F.filter(F.element_at(table, top + 1), lambda b: b < ids)))
 
 
-def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", rows_per_bucket: int = 512) -> DataFrame:
+def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", rows_per_bucket: int = 512, quantiles: int = _FAN * _FAN) -> DataFrame:
     """key, text, _bucket, _order, _guest: each document once, and in each bucket of rising keys a guest copy of the next bucket's first row.
 
-    The buckets' bounds are quantiles of all keys (at most 4096, so of fixed size), so no task holds the whole order.
-    After the last bucket comes the first one.
+    The buckets' bounds are quantiles of all keys (at most 4096, so of fixed size); where that leaves more than
+    ``rows_per_bucket`` rows, the keys between two of them are cut into up to 64 parts of equal width, so that no task holds
+    the whole order. After the last bucket comes the first one.
     """
     base = docs.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    n, low = base.agg(F.count(F.lit(1)), F.min(key)).first()
-    wanted = min(_FAN * _FAN, max(1, -(-n // rows_per_bucket)))
+    n, low, high = base.agg(F.count(F.lit(1)), F.min(key), F.max(key)).first()
+    wanted = min(quantiles, max(1, -(-n // rows_per_bucket)))
     bounds = []
     if wanted > 1 and low is not None:
         bounds = sorted(set(base.agg(F.percentile_approx(key, [i / wanted for i in range(1, wanted)], 10_000)).first()[0]))
     tops = bounds[_FAN - 1 :: _FAN]
     subs = [bounds[i * _FAN : i * _FAN + _FAN - 1] for i in range(len(tops) + 1)] if bounds else []
     rows = base.withColumn("_bucket", _bucket(F.col(key), tops, subs))
+    cuts = min(_FAN, -(-n // (wanted * rows_per_bucket)))
+    if cuts > 1 and low is not None:
+        edges = F.array(*map(F.lit, [low, *bounds, high])).cast("array<double>")
+        down, up = F.element_at(edges, F.col("_bucket") + 1), F.element_at(edges, F.col("_bucket") + 2)
+        part = F.when(F.col(key).isNull() | (up <= down), 0).otherwise(F.least(F.lit(cuts - 1), F.greatest(F.lit(0), F.floor((F.col(key).cast("double") - down) * cuts / (up - down)))))
+        rows = rows.withColumn("_bucket", F.col("_bucket") * cuts + part.cast("int"))
     firsts = rows.groupBy("_bucket").agg(F.min(F.struct(F.col(key).isNotNull().alias("known"), F.col(key).alias("id"))).alias("first")).select("_bucket", "first.id")
     order = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = firsts.select(F.col("_bucket").alias("_of"), "id", F.coalesce(F.lag("_bucket").over(Window.orderBy("_bucket")), F.last("_bucket").over(order)).alias("_to"))
