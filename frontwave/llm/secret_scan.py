@@ -126,14 +126,17 @@ def find_spans(text: str, config: ScanConfig) -> list[tuple[int, int, int]]:
         out += [(m.start(), 2, m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= MIN_HEX]
     if longest >= config.candidate:
         candidate, rules, allowed = config.parts()
-        base = list(out)
+        base, covered, next_base = sorted(out), 0, 0  # covered: the furthest end of the base spans that begin up to here
         for m in candidate.finditer(text):
             value, at = m[0], m.start()
             rule = next((r for p, r in rules if p.fullmatch(value)), None)
             if rule is None or any(a.fullmatch(value) for a in allowed):
                 continue
             for start, end in hot_windows(value, rule.window, rule.bits):
-                if not any(b[0] <= at + start and at + end <= b[2] for b in base):
+                while next_base < len(base) and base[next_base][0] <= at + start:
+                    covered = max(covered, base[next_base][2])
+                    next_base += 1
+                if at + end > covered:
                     out.append((at + start, 3, at + end))
     out.sort()
     return out
