@@ -14,7 +14,7 @@ Where documents have no ``topic`` column, :func:`topic` sorts texts by their for
 
 Only the cell table is iterated on. It is aggregated from all documents with map-side partial sums, so a hot source is no
 hot task. While it has at most ``small_cells`` rows (counted) it is worked on in one partition, without shuffles, and is
-broadcast to the documents; a larger one is shuffled by the margins' values and joined by a shuffle.
+broadcast to the documents; a larger one is shuffled by the margins' values, calibrated by sums alone and joined by a shuffle.
 
 Defined results: null sources, languages and topics are values of their own, ``(none)``; null and empty texts have 0
 tokens and are drawn with their cell's probability, 0 in a cell of no tokens; null ids share one uniform number; repeated
@@ -103,19 +103,40 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, t
     return cells.drop(*[f"t_{m}" for m in MARGINS], "_total"), n
 
 
-def calibrate(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
+def calibrate(cells: DataFrame, budget: float = BUDGET, sorted_once: bool = True) -> DataFrame:
     """Add ``probability`` to raked cells.
 
     With the cells in falling order of raked / tokens, those before a place k are whole and the rest are scaled by s_k to
-    use up the budget; the first k at which no scaled cell exceeds 1 is the solution.
+    use up the budget; the first k at which no scaled cell exceeds 1 is the solution. It is found from sums over the order in
+    one task, or, if not ``sorted_once``, by sums over all cells: the scale that fills the budget makes some cells whole,
+    which raises the scale for the others, until no further cell is whole.
     """
+    ranked = cells.withColumn("_ratio", F.when(F.col("tokens") > 0, F.col("raked") / F.col("tokens")).otherwise(0.0))
+    if not sorted_once:
+        return _probable(ranked, F.lit(_scale(ranked, budget)).cast("double"))
     order = Window.orderBy(F.col("_ratio").desc(), *MARGINS)
     upto, from_here = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    ranked = cells.withColumn("_ratio", F.when(F.col("tokens") > 0, F.col("raked") / F.col("tokens")).otherwise(0.0))
     steps = ranked.withColumn("_s", (F.lit(budget) * F.sum("tokens").over(Window.partitionBy(F.lit(0))) - F.coalesce(F.sum("tokens").over(upto), F.lit(0))) / F.sum("raked").over(from_here))
-    solved = steps.where("_ratio > 0 and _s >= 0 and _s * _ratio <= 1 + 1e-12").agg(F.max_by("_s", "_ratio").alias("_scale"))
-    scaled = ranked.crossJoin(F.broadcast(solved))
-    return scaled.withColumn("probability", F.when(F.col("_ratio") <= 0, 0.0).when(F.col("_scale").isNull(), 1.0).otherwise(F.least(F.lit(1.0), F.col("_scale") * F.col("_ratio")))).drop("_scale")
+    solved = steps.where("_ratio > 0 and _s >= 0 and _s * _ratio <= 1 + 1e-12").agg(F.min_by("_s", F.struct(-F.col("_ratio"), *MARGINS)).alias("_scale"))
+    return _probable(ranked.crossJoin(F.broadcast(solved)), F.col("_scale")).drop("_scale")
+
+
+def _probable(ranked: DataFrame, scale: Column) -> DataFrame:
+    return ranked.withColumn("probability", F.when(F.col("_ratio") <= 0, 0.0).when(scale.isNull(), 1.0).otherwise(F.least(F.lit(1.0), scale * F.col("_ratio"))))
+
+
+def _scale(ranked: DataFrame, budget: float) -> float | None:
+    """The scale of the cells that are not whole; None if all are."""
+    total, raked = ranked.agg(F.sum("tokens").cast("double"), F.sum("raked")).first()
+    scale = budget * total / raked if raked else None
+    while scale is not None:
+        whole = F.col("_ratio") * F.lit(scale) > 1 + 1e-12
+        tokens, rest = ranked.agg(F.coalesce(F.sum(F.when(whole, F.col("tokens"))), F.lit(0)).cast("double"), F.sum(F.when(~whole, F.col("raked")))).first()
+        after = (budget * total - tokens) / rest if rest and budget * total >= tokens else None
+        if after is not None and after <= scale * (1 + 1e-12):
+            return scale
+        scale = after
+    return None
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", targets: dict[str, dict[str, float]] | None = None, temper: dict[str, float] | None = None, budget: float = BUDGET, rounds: int = ROUNDS, seed: int = SEED, small_cells: int = SMALL_CELLS) -> DataFrame:
@@ -126,7 +147,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", targets: dict[
     labelled = _labelled(docs.drop("mix_topic", "mix_tokens", "mix_weight", "mix_probability", "mix_sampled"), text)
     cells = labelled.groupBy(*[F.col(f"_mix_{m}").alias(m) for m in MARGINS]).agg(F.sum("_mix_tokens").alias("tokens"))
     raked, n = rake(cells, targets, temper, rounds, small_cells)
-    solved = calibrate(raked, budget).select(*[F.col(m).alias(f"_mix_{m}") for m in MARGINS], F.col("_ratio").alias("mix_weight"), F.col("probability").alias("mix_probability"))
+    solved = calibrate(raked, budget, n <= small_cells).select(*[F.col(m).alias(f"_mix_{m}") for m in MARGINS], F.col("_ratio").alias("mix_weight"), F.col("probability").alias("mix_probability"))
     solved = F.broadcast(solved) if n <= small_cells else solved
     joined = labelled.join(solved, [f"_mix_{m}" for m in MARGINS])
     unit = hash_unit(F.coalesce(F.col(key).cast("string"), F.lit(NONE)), seed)

@@ -45,6 +45,14 @@ def test_mixing_margins_and_budget(spark, small_cells):
     assert got.mix_probability.between(0, 1).all() and 0.35 < got[got.mix_sampled].mix_tokens.sum() / total < 0.65
 
 
+@pytest.mark.parametrize("budget", [0.0, 0.3, 0.8, 0.97, 1.0])
+def test_calibration_by_sums_equals_that_by_order(spark, budget):
+    rng = random.Random(2)
+    cells = spark.createDataFrame([(f"s{i}", "en", "prose", rng.choice([0, 5, 100, 4000]), rng.choice([0.0, 1.0, 50.0, 9000.0])) for i in range(40)], "source string, lang string, topic string, tokens long, raked double")
+    one, two = ({r.source: r.probability for r in mixing.calibrate(cells, budget, by).collect()} for by in (True, False))
+    assert one == pytest.approx(two, abs=1e-9)
+
+
 def test_mixing_targets_and_edges(spark):
     docs = mixing_docs(spark, 60)
     got = mixing.mix(docs, targets={"lang": {"en": 3.0, "de": 1.0}}).toPandas()
@@ -246,9 +254,15 @@ def test_fingerprints(spark):
     rng = random.Random(5)
     texts = [" ".join(rng.choice(["ab", "cd", "éf", "gh", "Ij"]) + str(rng.randint(0, 30)) for _ in range(rng.randint(0, 700))) for _ in range(40)] + [None, "", " ", "one two", "x y " * 30_000, "same text here", "same text here"]
     got = pd.DataFrame([r.asDict() for r in fingerprints.edited_pairs(rows_of(spark, texts, sketch="clash")).collect()]).set_index("doc_id").sort_index()
-    for bucket in (1, 3):
-        again = fingerprints.with_next(rows_of(spark, texts), rows_per_bucket=bucket)
-        assert again.where("not _guest").count() == len(texts)
+    for bucket, quantiles in ((1, 4096), (3, 4096), (2, 4), (1, 1)):
+        again = fingerprints.with_next(rows_of(spark, texts), rows_per_bucket=bucket, quantiles=quantiles).collect()
+        assert sum(not r._guest for r in again) == len(texts)
+        after = {}
+        for r in sorted(again, key=lambda r: (r._bucket, r._guest, r.doc_id or 0)):
+            after.setdefault(r._bucket, []).append(r)
+        assert len(after) > 10 or bucket == 3
+        follows = {a.doc_id: b.text for own in after.values() for a, b in zip(own, own[1:], strict=False)}
+        assert [follows[i] for i in range(len(texts))] == [texts[(i + 1) % len(texts)] or "" for i in range(len(texts))]
     errors = []
     for i, t in enumerate(texts):
         t, after = t or "", texts[(i + 1) % len(texts)] or ""
