@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranges
+
 
 def adjacency(edges: DataFrame) -> DataFrame:
     """src and its destinations in rising order."""
     return edges.groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("neighbours"))
 
 
-def _running(rows: DataFrame, value: str, key: str, name: str, buckets: int = 256) -> DataFrame:
+def _running(rows: DataFrame, value: str, key: str, name: str, rows_each: int = 65_536) -> DataFrame:
     """The sum of ``value`` over all rows of smaller key, without putting all rows in one task.
 
-    Keys are cut into ranges at approximate quantiles; sums run within a range, and the ranges' totals (one row each)
-    are summed before them.
+    Keys are cut into ranges, whose number follows the rows; sums run within a range, and the ranges' totals (one row each,
+    at most 4096) are summed before them.
     """
-    bounds = rows.agg(F.percentile_approx(key, [i / buckets for i in range(1, buckets)], 1000)).first()[0] or []
-    bounds = sorted(set(bounds))
-    at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(key))) if bounds else F.lit(0)
-    placed = rows.withColumn("_range", at)
+    placed = rows.withColumn("_range", ranges.number(F.col(key), ranges.bounds(rows, key, rows_each)))
     before = placed.groupBy("_range").agg(F.sum(value).alias("_sum"))
     before = before.select("_range", (F.sum("_sum").over(Window.orderBy("_range")) - F.col("_sum")).alias("_before"))
     own = Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -41,19 +44,30 @@ def row_blocks(degrees: DataFrame, block_size: int) -> DataFrame:
     """block, first_row: the boundaries of greedy blocks of consecutive rows with at most ``block_size`` edges.
 
     A row opens a new block when it would overfill the running one, so an oversized row ends up alone. The end of the
-    rows is the last boundary. Rows are numbered by id from 0. A greedy cut depends on all cuts before it, so the fold is
-    sequential; it runs over one array of degrees, as large as the vertex table's degree column.
+    rows is the last boundary. Rows are numbered by id from 0. A greedy cut depends on all cuts before it, so one task walks
+    the sorted rows; it holds one batch, and finds each cut by a search in the batch's running sums.
     """
-    state = "struct<at:bigint,size:bigint,cuts:array<bigint>>"
-    rows = degrees.agg(F.sort_array(F.collect_list(F.struct("id", "out_degree"))).alias("rows"))
-
-    def step(acc, row):
-        opens = (acc["size"] + row["out_degree"] > block_size) & (acc["at"] > 0)
-        return F.struct((acc["at"] + 1).alias("at"), F.when(opens, row["out_degree"]).otherwise(acc["size"] + row["out_degree"]).alias("size"), F.when(opens, F.array_append(acc["cuts"], acc["at"])).otherwise(acc["cuts"]).alias("cuts"))
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("size"), F.array(F.lit(0).cast("long")).alias("cuts")).cast(state)
-    folded = rows.select(F.aggregate("rows", start, step).alias("f"))
-    return folded.select(F.posexplode(F.array_append("f.cuts", F.col("f.at"))).alias("block", "first_row"))
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, size, block = 0, 0, 1  # rows before the batch, the open block's edges, the next block's number
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([0], pa.int64())], ["block", "first_row"])
+        for batch in batches:
+            upto = np.cumsum(batch.column(1).to_numpy())
+            begin, before, cuts = 0, -size, []  # the open block began at this row of the batch, with this sum before it
+            while begin < len(upto):
+                # the first row that overfills the block; the row that opens one always fits
+                end = max(int(np.searchsorted(upto, before + block_size, side="right")), begin + 1 if cuts or at + begin == 0 else begin)
+                if end >= len(upto):
+                    break
+                cuts.append(at + end)
+                begin, before = end, int(upto[end - 1]) if end else 0
+            size, at = (int(upto[-1]) - before if len(upto) else size), at + len(upto)
+            yield pa.RecordBatch.from_arrays([pa.array(range(block, block + len(cuts)), pa.int32()), pa.array(cuts, pa.int64())], ["block", "first_row"])
+            block += len(cuts)
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([at], pa.int64())], ["block", "first_row"])
+
+    rows = degrees.select("id", "out_degree").repartition(1).sortWithinPartitions("id")
+    return rows.mapInArrow(over, "block int, first_row long")
 
 
 def preview(edges: DataFrame, vertices: DataFrame, each: int = 5) -> DataFrame:

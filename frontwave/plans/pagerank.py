@@ -3,22 +3,26 @@
 ``r(v) = (1 - alpha) + alpha * sum of r(u) / outdegree(u)`` over edges u -> v, all starting at ``1 - alpha``, until no rank moves by
 ``epsilon`` or more, or ``most`` rounds are done; then ranks are divided by their sum. A vertex without out-edges passes nothing on.
 
-The shares along the edges are made once and cached by source. A round is one join, one aggregation with partial sums on
-the map side, and one left join to keep vertices without in-edges; a hub's many in-edges are summed before the shuffle.
+The shares along the edges are made once and cached by source, with an edge from each vertex to itself that carries its old
+rank and no share. So a round is one join, which finds the ranks dealt by id as the last round's sums left them, and one
+aggregation, the only exchange; a hub's many in-edges are summed before it. Several rounds are one job; if the stopping rule
+holds within it, its rounds up to there are run again from the last written state. A hub's many out-edges are dealt apart (``hubs``).
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.stats import RunStats
 from ..graph import Graph
 from ..operators.structure import transition
-from .fixpoint import fixpoint
+from .fixpoint import cut, drop, fixpoint
+from .hubs import Dealt, deal
 
 ALPHA, EPSILON, MOST_ROUNDS = 0.85, 1e-6, 200
+#: Rounds of one job.
+AT_ONCE = 5
 #: Scale of integer residuals.
 SCALE = 2**20
 
@@ -28,13 +32,8 @@ def _checked(alpha: float, epsilon: float) -> None:
         raise ValueError("alpha must be in [0, 1] and epsilon over 0")
 
 
-def _move() -> dict:
-    """The largest move of a rank, observed while a round is written."""
-    return {"delta": F.max(F.abs(F.col("rank") - F.col("old")))}
-
-
-def _shares(graph: Graph) -> DataFrame:
-    return transition(graph.edges).repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
+def _shares(graph: Graph) -> Dealt:
+    return deal(transition(graph.edges))
 
 
 def normalize(ranks: DataFrame) -> DataFrame:
@@ -48,21 +47,42 @@ def pagerank(graph: Graph, alpha: float = ALPHA, epsilon: float = EPSILON, most:
     _checked(alpha, epsilon)
     stats = stats or RunStats()
     stats.start()
-    shares = _shares(graph if directed else graph.symmetrize())
+    owner = graph if directed else graph.symmetrize()
+    own = owner.vertices.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(None).cast("double").alias("p"))
+    shares = deal(transition(owner.edges).select("src", "dst", "p").unionByName(own))
     stats.checkpoint("preprocessing")
-    state = graph.vertices.select("id", F.lit(1 - alpha).alias("rank"), F.lit(0.0).alias("old"))
-
-    def step(now: DataFrame, _: int) -> DataFrame:
-        sent = shares.join(now.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("p") * F.col("rank")).alias("got"))
-        return now.join(sent, "id", "left").select("id", (F.lit(1 - alpha) + alpha * F.coalesce("got", F.lit(0.0))).alias("rank"), F.col("rank").alias("old"))
-
-    def stop(seen: dict, done: int) -> bool:
-        stats.add_datapoint("delta", seen["delta"] or 0.0)
-        return done >= rounds if rounds is not None else seen["delta"] is None or seen["delta"] < epsilon
-
-    state, done, by_itself = fixpoint(state, step, _move(), stop, most if rounds is None else rounds)
+    state, _ = cut(graph.vertices.select("id", F.lit(1 - alpha).alias("rank")))
+    # with hubs a round reads the ranks twice, and a chain of rounds would read them again and again
+    at_once = 1 if shares.heavy is not None else AT_ONCE
+    most, done, converged = most if rounds is None else rounds, 0, False
+
+    def run(now: DataFrame, n: int) -> tuple[DataFrame, list[float | None]]:
+        """n more rounds from a written state, and the largest move of a rank in each."""
+        moves = []
+        for _ in range(n):
+            met = shares.join(now.select(F.col("id").alias("src"), "rank"))
+            sums = met.groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("p") * F.col("rank")).alias("got"), F.max(F.when(F.col("p").isNull(), F.col("rank"))).alias("old"))
+            now = sums.select("id", (F.lit(1 - alpha) + alpha * F.coalesce("got", F.lit(0.0))).alias("rank"), "old")
+            moves.append(Observation())
+            now = now.observe(moves[-1], F.max(F.abs(F.col("rank") - F.col("old"))).alias("delta"))
+        written, _ = cut(now.select("id", "rank"))
+        return written, [m.get["delta"] for m in moves]
+
+    while done < most and not converged:
+        n = min(at_once, most - done)
+        following, moves = run(state, n)
+        if rounds is None:
+            enough = next((i + 1 for i, d in enumerate(moves) if d is None or d < epsilon), None)
+            converged = enough is not None
+            if converged and enough < n:
+                drop(following)
+                n, (following, moves) = enough, run(state, enough)
+        for d in moves:
+            stats.add_datapoint("delta", d or 0.0)
+        drop(state)
+        state, done = following, done + n
     stats.add_stat("iterations", done)
-    stats.add_stat("converged", by_itself and rounds is None)
+    stats.add_stat("converged", converged)
     stats.checkpoint("pagerank")
     shares.unpersist()
     ranks = state.select("id", "rank")
@@ -100,7 +120,7 @@ def residual_pagerank(graph: Graph, alpha: float = ALPHA, epsilon: float = EPSIL
         start, none, weight = F.lit(1 - alpha), F.lit(0.0), F.lit(1 - alpha)
 
     def pushed(active: DataFrame) -> DataFrame:
-        return shares.join(active.select(F.col("id").alias("src"), "residual"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(push("residual")).alias("got"))
+        return shares.join(active.select(F.col("id").alias("src"), "residual")).groupBy(F.col("dst").alias("id")).agg(F.sum(push("residual")).alias("got"))
 
     first = pushed(graph.vertices.select("id", start.alias("residual")))
     state = graph.vertices.join(first, "id", "left").select("id", weight.alias("weight"), F.coalesce("got", none).alias("residual"), F.lit(True).alias("active"))

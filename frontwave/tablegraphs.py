@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from .graph import Graph
+from .operators import ranges
 
 EDGE_SQL = {
     "seq": "SELECT src, dst FROM (SELECT user_id AS src, lead(user_id) OVER (ORDER BY event_id) AS dst FROM events) x WHERE dst IS NOT NULL",
@@ -14,18 +16,13 @@ EDGE_SQL = {
 }
 
 
-def successive(spark: SparkSession, sf_dir: str, condition: str = "true", buckets: int = 256) -> DataFrame:
+def successive(spark: SparkSession, sf_dir: str, condition: str = "true") -> DataFrame:
     """The user of each event and that of the next one in event order, without one task that holds all events.
 
-    Events are cut into ranges at quantiles of their ids; each range gets a guest copy of the next range's first event.
+    Events are cut into ranges of their ids, whose number follows the events; each range gets a guest copy of the next range's first event.
     """
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
     events = spark.read.parquet(f"{sf_dir}/events.parquet").where(condition).select("event_id", "user_id")
-    bounds = sorted(set(events.agg(F.percentile_approx("event_id", [i / buckets for i in range(1, buckets)], 1000)).first()[0] or []))
-    at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("event_id"))) if bounds else F.lit(0)
-    placed = events.withColumn("_range", at)
+    placed = events.withColumn("_range", ranges.number(F.col("event_id"), ranges.bounds(events, "event_id")))
     firsts = placed.groupBy("_range").agg(F.min_by("user_id", "event_id").alias("user_id"), F.min("event_id").alias("event_id"))
     guests = firsts.select("event_id", "user_id", F.lag("_range").over(Window.orderBy("_range")).alias("_range"), F.lit(True).alias("_guest")).where("_range is not null")
     order = Window.partitionBy("_range").orderBy("event_id")
