@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bloom
-from .common import bounded, drop_scratch, parts, table_of_texts, written
+from .common import bounded, drop_scratch, table_of_texts, written
 from .components import components, forest
 
 U = np.uint64
@@ -205,12 +205,11 @@ def frequent_grams(docs: DataFrame, settings: JoinSettings) -> tuple[np.ndarray,
                 top.sort()
                 grams, counts = grams[top], counts[top]
 
-        for batch in batches:
-            for part in parts(batch, 0):
-                waiting.append(gram_sets(*table_of_texts(part.column(0)), size)[0])
-                held += len(waiting[-1])
-                if held > 4_000_000:
-                    fold()
+        for part in bounded(batches, 0):
+            waiting.append(gram_sets(*table_of_texts(part.column(0)), size)[0])
+            held += len(waiting[-1])
+            if held > 2_000_000:
+                fold()
         if waiting:
             fold()
         yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(counts)], ["gram", "n"])
@@ -232,30 +231,29 @@ def profiles(docs: DataFrame, settings: JoinSettings) -> DataFrame:
         seldom = np.ones(1 << 22, bool)
         seldom[heavy >> U(42)] = False
         seen: set[int] = set()
-        for batch in batches:
-            for part in parts(batch, 1):
-                grams, at = gram_sets(*table_of_texts(part.column(1)), settings.words)
-                weight = np.zeros(len(grams), np.int64)
-                if len(heavy) and len(grams):
-                    maybe = np.flatnonzero(~seldom[grams >> U(42)])
-                    place = np.minimum(np.searchsorted(heavy, grams[maybe]), len(heavy) - 1)
-                    weight[maybe] = np.where(heavy[place] == grams[maybe], counts[place], 0)
-                row, node, ranges, prefix = [], [], [], []
-                for doc_id, a, b in zip(part.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
-                    own, w = grams[a:b], weight[a:b]
-                    d = _digest(own)
-                    row.append(_row_key(doc_id, d))
-                    node.append(_node(d))
-                    if a == b or node[-1] in seen:
-                        ranges.append(None)
-                        prefix.append(None)
-                        continue
-                    if len(seen) >= 1_000_000:
-                        seen.clear()
-                    seen.add(node[-1])
-                    ranges.append(_ranges(own))
-                    prefix.append((own[np.argsort(w, kind="stable")] if w.any() else own)[: settings.prefix(b - a)].view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(row, pa.int64()), pa.array(node, pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(ranges, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "row", "node", "n", "ranges", "prefix"])
+        for part in bounded(batches, 1):
+            grams, at = gram_sets(*table_of_texts(part.column(1)), settings.words)
+            weight = np.zeros(len(grams), np.int64)
+            if len(heavy) and len(grams):
+                maybe = np.flatnonzero(~seldom[grams >> U(42)])
+                place = np.minimum(np.searchsorted(heavy, grams[maybe]), len(heavy) - 1)
+                weight[maybe] = np.where(heavy[place] == grams[maybe], counts[place], 0)
+            row, node, ranges, prefix = [], [], [], []
+            for doc_id, a, b in zip(part.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                own, w = grams[a:b], weight[a:b]
+                d = _digest(own)
+                row.append(_row_key(doc_id, d))
+                node.append(_node(d))
+                if a == b or node[-1] in seen:
+                    ranges.append(None)
+                    prefix.append(None)
+                    continue
+                if len(seen) >= 1_000_000:
+                    seen.clear()
+                seen.add(node[-1])
+                ranges.append(_ranges(own))
+                prefix.append((own[np.argsort(w, kind="stable")] if w.any() else own)[: settings.prefix(b - a)].view(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(row, pa.int64()), pa.array(node, pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(ranges, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "row", "node", "n", "ranges", "prefix"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = written(docs.select("doc_id", "text").mapInArrow(over, f"doc_id {kind}, row long, node long, n long, ranges binary, prefix array<long>"), "profiles")
@@ -659,12 +657,11 @@ def one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     def rows(asked: bool):
         def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in parts(batch, text):
-                    grams, ends = gram_sets(*table_of_texts(part.column(text)), size)
-                    keys = np.array([_row_key(i, _digest(grams[a:b])) for i, a, b in zip(part.column(at).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)], np.int64)
-                    keep = bloom.may_hold(shared.value, keys, bits) == asked
-                    yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(keys)] * asked], [*names, *["_row"] * asked]).filter(pa.array(keep))
+            for part in bounded(batches, text):
+                grams, ends = gram_sets(*table_of_texts(part.column(text)), size)
+                keys = np.array([_row_key(i, _digest(grams[a:b])) for i, a, b in zip(part.column(at).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)], np.int64)
+                keep = bloom.may_hold(shared.value, keys, bits) == asked
+                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(keys)] * asked], [*names, *["_row"] * asked]).filter(pa.array(keep))
 
         return over
 

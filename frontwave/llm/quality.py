@@ -57,7 +57,7 @@ _WORD_HASH: dict[bytes, int] = {}
 def _word_hash(word: bytes) -> int:
     h = _WORD_HASH.get(word)
     if h is None:
-        if len(_WORD_HASH) >= 500_000:
+        if len(_WORD_HASH) >= 100_000:
             _WORD_HASH.clear()
         h = _WORD_HASH[word] = xxhash.xxh3_64_intdigest(word)
     return h
