@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bloom
-from .common import bounded, drop_scratch, table_of_texts, written
+from .common import bounded, drop_scratch, release, table_of_texts, written
 from .components import components, forest
 
 U = np.uint64
@@ -329,6 +329,7 @@ def short_pairs(lists: DataFrame, every: DataFrame, settings: JoinSettings) -> D
             held = own.slice(last)
         if held is not None:
             yield pairs(*(held.column(i).to_numpy() for i in range(4)))
+        release()
 
     def pairs(gram, n, node, pos) -> pa.RecordBatch:
         # a node may be posted once by each task that has one of its copies
@@ -393,6 +394,7 @@ def near_edges(lists: DataFrame, settings: JoinSettings) -> DataFrame:
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
                 held = own.slice(max(int(np.searchsorted(group, group[-1])), len(gram) - window))
+        release()
 
     dealt = lists.select("gram", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / settings.part)).alias("part"), "n", "node", "pos", "c", "ranges")
     return dealt.repartition("gram", "part").sortWithinPartitions("gram", "part", "n", "node").mapInArrow(over, "a long, b long")
@@ -451,6 +453,8 @@ def _by_group(keys: int, made, different: int = 0):
                     held.append(r)
         if held:
             yield made(held)
+        held = []
+        release()
 
     return over
 
@@ -502,7 +506,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, settings: JoinSettings) -> DataFr
     return docs.select("text").mapInArrow(over, "node long, grams binary")
 
 
-def tile_links(left: list[np.ndarray], right: list[np.ndarray], settings: JoinSettings, columns: int = 1024, pairs: int = 4_000_000) -> np.ndarray:
+def tile_links(left: list[np.ndarray], right: list[np.ndarray], settings: JoinSettings, columns: int = 1024, pairs: int = 500_000) -> np.ndarray:
     """Which of the left sets link with which of the right ones. Grams of many rows are counted by matrix products, the others pair by pair."""
     nl, nr = (np.array([len(g) for g in side], np.int64) for side in (left, right))
     gl, gr = np.concatenate(left), np.concatenate(right)
@@ -571,7 +575,7 @@ def _spanning(hit: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(columns)
 
 
-def block_links(made: DataFrame, members: DataFrame, settings: JoinSettings, side: int = 4096, most: int = 2_000_000, tile: int = 1024) -> DataFrame:
+def block_links(made: DataFrame, members: DataFrame, settings: JoinSettings, side: int = 4096, most: int = 500_000, tile: int = 1024) -> DataFrame:
     """a, b, links: with how many nodes of its group each node a links (b is null), and links (a, b) that span all of the block (links is null). ``members`` has node, label, n.
 
     A group is cut into parts of about ``side`` nodes and at most about ``most`` grams; each two parts meet in one block,
