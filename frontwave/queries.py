@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,11 @@ from pyspark.sql import functions as F
 
 from .graph import Graph
 from .plans import bfs as _bfs
-from .plans import deltas, distances, frontier_sizes, levels, pagerank, residual_pagerank, top_ranked, unreached
+from .operators import layout
+from .plans import deltas, distances, frontier_sizes, level_lines, levels, pagerank, residual_pagerank, top_ranked, unreached
+from .plans.fixpoint import shared_dir
+from .sources import read_edge_list, write_pairs
+from .sources.sinks import write_levels
 from .tablegraphs import EDGE_SQL, graph
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +40,24 @@ def _search(name: str, make: Callable[[Graph, int], DataFrame]) -> Query:
     return run
 
 
+def _file(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/files/{uuid.uuid4().hex}"
+
+
+def text_edges(g: Graph) -> DataFrame:
+    """The edges, written as text and read back."""
+    path = _file(g.spark)
+    write_pairs(g, path)
+    return read_edge_list(g.spark, path, header="none").edges
+
+
+def written_levels(g: Graph, source: int) -> DataFrame:
+    """The lines of a file of distances, read back."""
+    path = _file(g.spark)
+    write_levels(distances(g, source, directed=False), path)
+    return g.spark.read.text(path).select(F.col("value").alias("line"))
+
+
 def _ranked(ranks: DataFrame, places: int = 8) -> DataFrame:
     return ranks.select("id", F.round("rank", places).alias("rank"))
 
@@ -43,6 +66,10 @@ QUERIES: dict[str, Query] = {
     "edge_list": _on("hot", lambda g: g.edges),
     "vertex_set": _on("hot", lambda g: g.vertices),
     "graph_summary": _on("supply", lambda g: g.summary()),
+    "text_edges": _on("seq", text_edges),
+    "head_tail": _on("supply", lambda g: layout.head_tail(g.out_degree(), "out_degree")),
+    "written_levels": _search("hot", written_levels),
+    "bfs_first_levels": _search("op", lambda g, s: level_lines(levels(g, s, directed=False), 100)),
     "out_degree": _on("supply", lambda g: g.out_degree()),
     "in_degree": _on("supply", lambda g: g.in_degree()),
     "max_out_degree": _on("supply", lambda g: g.max_out_degree()),
@@ -147,6 +174,11 @@ ORACLE_SQL: dict[str, str] = {
     "graph_summary": f"""WITH e AS ({EDGE_SQL['supply']}) SELECT
   (SELECT count(*) FROM (SELECT src FROM e UNION SELECT dst FROM e) v)::BIGINT AS num_nodes, (SELECT count(*) FROM e)::BIGINT AS num_edges,
   (SELECT max(n) FROM (SELECT count(*) AS n FROM e GROUP BY src) d)::BIGINT AS max_outdegree""",
+    "text_edges": EDGE_SQL["seq"],
+    "head_tail": f"""WITH d AS ({_degree_sql("supply", "src", "out_degree")}), r AS (SELECT *, row_number() OVER (ORDER BY id) AS a, row_number() OVER (ORDER BY id DESC) AS b FROM d)
+SELECT id, out_degree FROM r WHERE a <= 6 OR b <= 4""",
+    "written_levels": _bfs_sql("hot", True, "SELECT v::VARCHAR || ' ' || (lvl - 1)::VARCHAR AS line FROM b"),
+    "bfs_first_levels": _bfs_sql("op", True, "SELECT v AS id, lvl::INTEGER AS level FROM b ORDER BY lvl, v LIMIT 100"),
     "out_degree": _degree_sql("supply", "src", "out_degree"),
     "in_degree": _degree_sql("supply", "dst", "in_degree"),
     "max_out_degree": f"SELECT max(n)::BIGINT AS max_outdegree FROM (SELECT count(*) AS n FROM ({EDGE_SQL['supply']}) e GROUP BY src) d",

@@ -56,6 +56,11 @@ def read_edge_list(spark: SparkSession, path: str, header: str = "counts", valid
     return graph
 
 
+def write_pairs(graph: Graph, path: str) -> None:
+    """The edges as lines ``src dst`` without a header, in as many files as there are partitions."""
+    graph.edges.select(F.concat_ws(" ", F.col("src").cast("string"), F.col("dst").cast("string")).alias("value")).write.text(path)
+
+
 def _longs(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("p")[0].cast("long").alias("src"), F.col("p")[1].cast("long").alias("dst"))
 

@@ -1,3 +1,4 @@
+import importlib
 import json
 
 import pytest
@@ -8,9 +9,12 @@ from frontwave.graph import Graph
 from frontwave.operators import layout
 from frontwave.plans import bfs, deltas, distances, levels, pagerank, residual_pagerank, top_ranked, unreached
 from frontwave.sources import complete_graph, focus_graph, load, read_binary, read_edge_list, read_golden_list, uniform_graph, write_binary
+from frontwave.plans.hubs import deal
 from frontwave.sources.sinks import bfs_lines, rank_lines
 from frontwave.sources.text import digits
 
+bfs_module, pagerank_module = (importlib.import_module(f"frontwave.plans.{n}") for n in ("bfs", "pagerank"))
+
 SIMPLE = [(0, 1), (0, 2), (0, 3), (1, 2), (2, 3), (3, 4), (2, 0), (3, 2), (4, 3), (1, 4)]
 # Converged, normalized ranks of the graph above.
 SIMPLE_RANKS = [0.1338734892, 0.0679308219, 0.2444082099, 0.3473100909, 0.2064773880]
@@ -20,6 +24,20 @@ SMALL_DIRECTED = {1: 0.24534314077838054, 2: 0.030000000000000006, 3: 0.23276041
 SMALL_UNDIRECTED = {1: 0.19738933380447052, 2: 0.11333212184870772, 3: 0.19738933380447052, 4: 0.29411337123073317, 5: 0.19778093373379993}
 SMALL_DISTANCES = {1: 0, 2: 2, 3: 2, 4: 1, 5: 1}
 
+# A graph of twenty edges, undirected distances from 1, and directed ranks after 30 in-place sweeps.
+TWENTY = "1 11;2 19;3 18;4 2;5 12;6 10;7 2;8 4;9 18;10 15;11 8;12 1;13 11;14 13;15 9;16 5;17 14;18 19;19 17;20 12"
+TWENTY_DISTANCES = "1 0;12 1;11 1;13 2;5 2;8 2;20 2;16 3;14 3;4 3;2 4;17 4;19 5;7 5;18 6;9 7;3 7;15 8;10 9;6 10"
+TWENTY_RANKS = (
+    "19:0.11524908910008787;11:0.10898569082781749;17:0.10546172573507469;8:0.10013783720364487;14:0.09716982510620692;4:0.09263148932307039;2:0.09257389986039748;"
+    "13:0.09009696102848512;18:0.034189734375;1:0.029318437500000002;12:0.025668750000000004;9:0.023899687500000003;15:0.019293750000000005;5:0.013875;10:0.013875;3:0.0075;6:0.0075;7:0.0075;16:0.0075;20:0.0075"
+)
+# A graph of a hundred edges, of whose vertices 79 are reached from 1, undirected, at most 20 hops away.
+HUNDRED = (
+    "1 9;2 30;3 9;4 30;5 48;6 16;7 86;8 34;9 71;10 55;11 86;12 47;13 17;14 58;15 81;16 35;17 26;18 88;19 85;20 44;21 48;22 24;23 81;24 23;25 58;26 20;27 87;28 51;29 72;30 82;31 94;32 52;33 53;34 16;"
+    "35 26;36 55;37 75;38 95;39 26;40 55;41 85;42 87;43 83;44 28;45 64;46 38;47 63;48 31;49 20;50 13;51 55;52 83;53 71;54 91;55 65;56 37;57 81;58 1;59 80;60 45;61 36;62 1;63 87;64 32;65 81;66 21;67 77;"
+    "68 62;69 40;70 49;71 22;72 1;73 27;74 39;75 79;76 16;77 86;78 76;79 82;80 37;81 19;82 42;83 16;84 39;85 100;86 33;87 56;88 89;89 1;90 16;91 10;92 41;93 62;94 62;95 27;96 56;97 65;98 76;99 41;100 44"
+)
+
 
 def edges(spark, pairs):
     return spark.createDataFrame(pairs, "src long, dst long")
@@ -106,6 +124,42 @@ def test_pagerank_of_sweeps(spark):
         assert {k: v / 5 for k, v in raw.items()} == pytest.approx(want, abs=5e-5)
 
 
+def numbers(text, sep=" ", kind=int):
+    return [(int(a), kind(b)) for a, b in (x.split(sep) for x in text.split(";"))]
+
+
+def test_golden_graphs(spark):
+    g = Graph.of(edges(spark, numbers(TWENTY)))
+    assert column(distances(g, 1, directed=False)) == dict(numbers(TWENTY_DISTANCES))
+    raw = column(pagerank(g, normalized=False))
+    assert {k: v / 20 for k, v in raw.items()} == pytest.approx(dict(numbers(TWENTY_RANKS, ":", float)), abs=5e-5)
+    found = column(levels(Graph.of(edges(spark, numbers(HUNDRED))), 1, directed=False))
+    assert len(found) == 100 and sum(v > 0 for v in found.values()) == 79 and max(found.values()) == 21
+
+
+def test_hubs_are_dealt_apart(spark):
+    pairs_ = [(0, i) for i in range(1, 3001)] + [(i, i + 1) for i in range(1, 400)] + [(3000, 0)]
+    g = Graph.of(edges(spark, pairs_))
+    dealt = deal(g.edges, least=500)
+    sizes = [r.n for part in (dealt.light, dealt.heavy) for r in part.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert dealt.hubs.count() == 1 and max(sizes) <= 2 * len(pairs_) / tasks and sum(sizes) == len(pairs_)
+    met = dealt.join(spark.createDataFrame([(0,), (5,)], "src long"))
+    assert met.count() == 3001
+    assert deal(g.edges).heavy is None
+
+
+def test_hub_queries_equal_those_without(spark, monkeypatch):
+    pairs_ = [(0, i) for i in range(1, 600)] + [(i, i * 7 % 300) for i in range(1, 600)] + [(599, 700), (700, 701)]
+    g = Graph.of(edges(spark, pairs_))
+    plain = column(bfs(g, 0)), column(pagerank(g, rounds=7)), column(pagerank(g))
+    for module in (bfs_module, pagerank_module):
+        monkeypatch.setattr(module, "deal", lambda e: deal(e, least=100))
+    assert column(bfs(g, 0)) == plain[0] and column(pagerank(g, rounds=7)) == pytest.approx(plain[1]) and column(pagerank(g)) == pytest.approx(plain[2])
+    monkeypatch.setattr(bfs_module, "THIN", 0)
+    assert column(bfs(g, 0)) == plain[0]
+
+
 def test_pagerank_arguments(spark):
     for bad in ({"alpha": 1.5}, {"epsilon": 0.0}):
         with pytest.raises(ValueError):
