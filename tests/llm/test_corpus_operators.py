@@ -454,3 +454,26 @@ def test_pipeline(spark, tmp_path):
     assert "abcdefgh12345" not in clean[92].text and clean[92].n_chars == len(clean[92].text)
     assert ids("mixing sources") <= ids("secret scans") and ids("best-fit packing") == ids("mixing sources")
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == seen["best-fit packing"].count()
+
+
+def test_pipeline_edges(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    say = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    twice, long = say(50), say(30_000)
+    rows = [(None, say(40)), (None, None), (1, None), (2, ""), (3, " \n"), (4, twice), (4, twice), (4, say(50)), (5, long)]
+    docs = spark.createDataFrame([(i, t, None if i == 2 else "en", "s", len(t or "")) for i, t in rows], FULL).withColumn("row", F.lit("clash")).withColumn("_tail", F.lit(1))
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    kept = jaccard_join.one_of_each(spark, docs, "")
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "4", "5", "None", "None"] and kept.columns == docs.columns
+    plain = docs.drop("_tail")
+    for stage in (corpus_pipeline.STAGES[0][1], corpus_pipeline.STAGES[2][1]):
+        assert stage(spark, plain, f"file://{tmp_path}").count() == len(rows)
+    drawn = corpus_pipeline.STAGES[3][1](spark, plain, "")
+    assert drawn.columns == plain.columns and drawn.count() <= len(rows)
+    packed = corpus_pipeline.run(spark, f"file://{tmp_path}")
+    assert packed.where("length > 2048 or offset + length > 2048").isEmpty()
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, plain.limit(0), f"file://{tmp_path}").count() == 0
