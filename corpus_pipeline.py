@@ -8,6 +8,12 @@ one's documents. All but the last return the columns of ``documents``.
 3. secret scans: found secrets are replaced in the text, and ``n_chars`` follows;
 4. mixing: documents are drawn to the target weights of source, language and topic;
 5. best-fit packing: the rest becomes sequences of at most 2048 tokens.
+
+Defined results: with no labels nothing is rejected; a null or empty text is scored by its form, is similar to nothing, holds
+no secret, has no tokens for mixing and becomes a sequence piece of one end token where it is drawn; rows with a null id take
+part in every stage and are drawn together by mixing; of rows that repeat each other one stays; of rows that share an id,
+those of different texts all stay; very long texts are read whole in every stage; an empty table gives an empty result; extra
+columns of ``documents`` pass through all stages but the last (one named ``_expected`` or ``_tail`` is lost in the first).
 """
 
 from __future__ import annotations
