@@ -63,41 +63,41 @@ def _ranked(ranks: DataFrame, places: int = 8) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "edge_list": _on("hot", lambda g: g.edges),
-    "vertex_set": _on("hot", lambda g: g.vertices),
+    "edge_list": _on("seq", lambda g: g.edges),
+    "vertex_set": _on("seq", lambda g: g.vertices),
     "graph_summary": _on("supply", lambda g: g.summary()),
     "text_edges": _on("seq", text_edges),
     "head_tail": _on("supply", lambda g: layout.head_tail(g.out_degree(), "out_degree")),
-    "written_levels": _search("hot", written_levels),
+    "written_levels": _search("seq", written_levels),
     "bfs_first_levels": _search("op", lambda g, s: level_lines(levels(g, s, directed=False), 100)),
     "out_degree": _on("supply", lambda g: g.out_degree()),
     "in_degree": _on("supply", lambda g: g.in_degree()),
     "max_out_degree": _on("supply", lambda g: g.max_out_degree()),
     "csr_offsets": _on("seq", lambda g: g.csr_offsets()),
-    "adjacency": _on("hot", lambda g: g.adjacency().select("src", F.array_join("neighbours", ",").alias("neighbours"))),
+    "adjacency": _on("seq", lambda g: g.adjacency().select("src", F.array_join("neighbours", ",").alias("neighbours"))),
     "neighbours": _search("seq", lambda g, s: g.neighbours(s)),
-    "flip": _on("hot", lambda g: g.flip().edges),
+    "flip": _on("seq", lambda g: g.flip().edges),
     "symmetrize": _on("seq", lambda g: g.symmetrize().edges),
     "dedupe_edges": _on("seq", lambda g: g.dedupe().edges),
     "duplicate_edges": _on("seq", lambda g: g.duplicate_edges()),
-    "graph_preview": _on("hot", lambda g: g.preview()),
-    "node_info": _search("hot", lambda g, s: g.node_info(s)),
+    "graph_preview": _on("seq", lambda g: g.preview()),
+    "node_info": _search("seq", lambda g, s: g.node_info(s)),
     "row_blocks": _on("seq", lambda g: g.row_blocks(BLOCK)),
-    "bfs_directed": _search("hot", lambda g, s: levels(g, s)),
+    "bfs_directed": _search("seq", lambda g, s: levels(g, s)),
     "bfs_undirected": _search("op", lambda g, s: _bfs(g, s, directed=False).select("id", (F.col("distance") + 1).cast("int").alias("level"))),
     "bfs_levels_all": _search("op", lambda g, s: levels(g, s, directed=False)),
     "bfs_distance": _search("op", lambda g, s: distances(g, s, directed=False)),
     "bfs_level_histogram": _search("op", lambda g, s: frontier_sizes(g, s, directed=False)),
-    "bfs_unreached_count": _search("op", lambda g, s: unreached(g, s, directed=False)),
+    "bfs_unreached_count": _search("home", lambda g, s: unreached(g, s, directed=False)),
     "pagerank_k20": _on("seq", lambda g: _ranked(pagerank(g, rounds=K))),
     "pagerank_raw": _on("seq", lambda g: _ranked(pagerank(g, rounds=K, normalized=False))),
     "pagerank_dangling": _on("supply", lambda g: _ranked(pagerank(g, rounds=K))),
-    "pagerank_undirected": _on("hot", lambda g: _ranked(pagerank(g, rounds=K, directed=False))),
-    "pagerank_converged": _on("hot", lambda g: _ranked(pagerank(g, epsilon=1e-7), 6)),
+    "pagerank_undirected": _on("seq", lambda g: _ranked(pagerank(g, rounds=K, directed=False))),
+    "pagerank_converged": _on("seq", lambda g: _ranked(pagerank(g, epsilon=1e-7), 6)),
     "pagerank_topk": _on("seq", lambda g: top_ranked(_ranked(pagerank(g, rounds=K)), 10)),
-    "pagerank_delta": _on("hot", lambda g: deltas(g, K).select("round", F.round("delta", 7).alias("delta"))),
+    "pagerank_delta": _on("seq", lambda g: deltas(g, K).select("round", F.round("delta", 7).alias("delta"))),
     "pagerank_residual": _on("seq", lambda g: _ranked(residual_pagerank(g, epsilon=1e-7), 6)),
-    "pagerank_fixed_point": _on("hot", lambda g: residual_pagerank(g, rounds=12, integers=True, normalized=False).select("id", F.round(F.col("rank") * 2**20).cast("long").alias("weight"))),
+    "pagerank_fixed_point": _on("seq", lambda g: residual_pagerank(g, rounds=12, integers=True, normalized=False).select("id", F.round(F.col("rank") * 2**20).cast("long").alias("weight"))),
 }
 
 
@@ -169,31 +169,31 @@ _NORMAL = f"SELECT id, round(r / sum(r) OVER (), 8) AS rank FROM pr WHERE it = {
 _LISTS = "array_to_string(list_sort(list(dst)), ',')"
 
 ORACLE_SQL: dict[str, str] = {
-    "edge_list": EDGE_SQL["hot"],
-    "vertex_set": f"SELECT src AS id FROM ({EDGE_SQL['hot']}) a UNION SELECT dst FROM ({EDGE_SQL['hot']}) b",
+    "edge_list": EDGE_SQL["seq"],
+    "vertex_set": f"SELECT src AS id FROM ({EDGE_SQL['seq']}) a UNION SELECT dst FROM ({EDGE_SQL['seq']}) b",
     "graph_summary": f"""WITH e AS ({EDGE_SQL['supply']}) SELECT
   (SELECT count(*) FROM (SELECT src FROM e UNION SELECT dst FROM e) v)::BIGINT AS num_nodes, (SELECT count(*) FROM e)::BIGINT AS num_edges,
   (SELECT max(n) FROM (SELECT count(*) AS n FROM e GROUP BY src) d)::BIGINT AS max_outdegree""",
     "text_edges": EDGE_SQL["seq"],
     "head_tail": f"""WITH d AS ({_degree_sql("supply", "src", "out_degree")}), r AS (SELECT *, row_number() OVER (ORDER BY id) AS a, row_number() OVER (ORDER BY id DESC) AS b FROM d)
 SELECT id, out_degree FROM r WHERE a <= 6 OR b <= 4""",
-    "written_levels": _bfs_sql("hot", True, "SELECT v::VARCHAR || ' ' || (lvl - 1)::VARCHAR AS line FROM b"),
+    "written_levels": _bfs_sql("seq", True, "SELECT v::VARCHAR || ' ' || (lvl - 1)::VARCHAR AS line FROM b"),
     "bfs_first_levels": _bfs_sql("op", True, "SELECT v AS id, lvl::INTEGER AS level FROM b ORDER BY lvl, v LIMIT 100"),
     "out_degree": _degree_sql("supply", "src", "out_degree"),
     "in_degree": _degree_sql("supply", "dst", "in_degree"),
     "max_out_degree": f"SELECT max(n)::BIGINT AS max_outdegree FROM (SELECT count(*) AS n FROM ({EDGE_SQL['supply']}) e GROUP BY src) d",
     "csr_offsets": f"SELECT id, out_degree, (sum(out_degree) OVER (ORDER BY id) - out_degree)::BIGINT AS \"offset\" FROM ({_degree_sql('seq', 'src', 'out_degree')}) d",
-    "adjacency": f"SELECT src, {_LISTS} AS neighbours FROM ({EDGE_SQL['hot']}) e GROUP BY src",
+    "adjacency": f"SELECT src, {_LISTS} AS neighbours FROM ({EDGE_SQL['seq']}) e GROUP BY src",
     "neighbours": f"WITH e AS ({EDGE_SQL['seq']}) SELECT src, dst FROM e WHERE src = (SELECT min(src) FROM e)",
-    "flip": f"SELECT dst AS src, src AS dst FROM ({EDGE_SQL['hot']}) e",
+    "flip": f"SELECT dst AS src, src AS dst FROM ({EDGE_SQL['seq']}) e",
     "symmetrize": f"SELECT src, dst FROM ({EDGE_SQL['seq']}) a UNION SELECT dst, src FROM ({EDGE_SQL['seq']}) b",
     "dedupe_edges": f"SELECT DISTINCT src, dst FROM ({EDGE_SQL['seq']}) e",
     "duplicate_edges": f"SELECT src, dst, count(*) AS copies FROM ({EDGE_SQL['seq']}) e GROUP BY 1, 2 HAVING count(*) > 1",
-    "graph_preview": f"""WITH e AS ({EDGE_SQL['hot']}), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e),
+    "graph_preview": f"""WITH e AS ({EDGE_SQL['seq']}), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e),
 r AS (SELECT id, row_number() OVER (ORDER BY id) AS a, row_number() OVER (ORDER BY id DESC) AS b FROM v)
 SELECT r.id, coalesce(l.n, 0)::BIGINT AS out_degree, coalesce(l.neighbours, '') AS neighbours
 FROM r LEFT JOIN (SELECT src AS id, count(*) AS n, {_LISTS} AS neighbours FROM e GROUP BY 1) l USING (id) WHERE a <= 5 OR b <= 5""",
-    "node_info": f"""WITH e AS ({EDGE_SQL['hot']}), s AS (SELECT min(src) AS id FROM e)
+    "node_info": f"""WITH e AS ({EDGE_SQL['seq']}), s AS (SELECT min(src) AS id FROM e)
 SELECT s.id, (SELECT count(*) FROM e WHERE src = s.id) AS out_degree, (SELECT count(*) FROM e WHERE src < s.id) AS first_edge,
   (SELECT count(*) FROM e WHERE src <= s.id) AS end_edge, (SELECT {_LISTS} FROM e WHERE src = s.id) AS neighbours FROM s""",
     "row_blocks": f"""WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER (ORDER BY id) - 1 AS pos, out_degree FROM ({_degree_sql('seq', 'src', 'out_degree')}) q),
@@ -204,19 +204,19 @@ f(pos, size, opens) AS (
   FROM f JOIN d ON d.pos = f.pos + 1),
 c AS (SELECT pos AS first_row FROM f WHERE opens UNION ALL SELECT count(*) FROM d)
 SELECT (row_number() OVER (ORDER BY first_row) - 1)::INTEGER AS block, first_row::BIGINT AS first_row FROM c""",
-    "bfs_directed": _bfs_sql("hot", False, "SELECT v.id, coalesce(b.lvl, 0)::INTEGER AS level FROM v LEFT JOIN b ON b.v = v.id"),
+    "bfs_directed": _bfs_sql("seq", False, "SELECT v.id, coalesce(b.lvl, 0)::INTEGER AS level FROM v LEFT JOIN b ON b.v = v.id"),
     "bfs_undirected": _bfs_sql("op", True, "SELECT v AS id, lvl::INTEGER AS level FROM b"),
     "bfs_levels_all": _bfs_sql("op", True, "SELECT v.id, coalesce(b.lvl, 0)::INTEGER AS level FROM v LEFT JOIN b ON b.v = v.id"),
     "bfs_distance": _bfs_sql("op", True, "SELECT v AS id, (lvl - 1)::INTEGER AS distance FROM b"),
     "bfs_level_histogram": _bfs_sql("op", True, "SELECT lvl::INTEGER AS level, count(*) AS vertices FROM b GROUP BY 1"),
-    "bfs_unreached_count": _bfs_sql("op", True, "SELECT (SELECT count(*) FROM v) - (SELECT count(*) FROM b) AS unreached"),
+    "bfs_unreached_count": _bfs_sql("home", True, "SELECT (SELECT count(*) FROM v) - (SELECT count(*) FROM b) AS unreached"),
     "pagerank_k20": _rank_sql("seq", K, _NORMAL),
     "pagerank_raw": _rank_sql("seq", K, f"SELECT id, round(r, 8) AS rank FROM pr WHERE it = {K}"),
     "pagerank_dangling": _rank_sql("supply", K, _NORMAL),
-    "pagerank_undirected": _rank_sql("hot", K, _NORMAL, both=True),
-    "pagerank_converged": _rank_sql("hot", 150, "SELECT id, round(r / sum(r) OVER (), 6) AS rank FROM pr WHERE it = 150"),
+    "pagerank_undirected": _rank_sql("seq", K, _NORMAL, both=True),
+    "pagerank_converged": _rank_sql("seq", 150, "SELECT id, round(r / sum(r) OVER (), 6) AS rank FROM pr WHERE it = 150"),
     "pagerank_topk": _rank_sql("seq", K, f"SELECT id, rank FROM ({_NORMAL}) n ORDER BY rank DESC, id LIMIT 10"),
-    "pagerank_delta": _rank_sql("hot", K, "SELECT a.it::INTEGER AS round, round(max(abs(a.r - b.r)), 7) AS delta FROM pr a JOIN pr b ON a.id = b.id AND a.it = b.it + 1 GROUP BY 1"),
+    "pagerank_delta": _rank_sql("seq", K, "SELECT a.it::INTEGER AS round, round(max(abs(a.r - b.r)), 7) AS delta FROM pr a JOIN pr b ON a.id = b.id AND a.it = b.it + 1 GROUP BY 1"),
     "pagerank_residual": _rank_sql("seq", 150, "SELECT id, round(r / sum(r) OVER (), 6) AS rank FROM pr WHERE it = 150"),
-    "pagerank_fixed_point": _fixed_point_sql("hot", 12),
+    "pagerank_fixed_point": _fixed_point_sql("seq", 12),
 }
