@@ -13,7 +13,7 @@ from .plans import bfs as _bfs
 from .operators import layout
 from .plans import deltas, distances, frontier_sizes, level_lines, levels, pagerank, residual_pagerank, top_ranked, unreached
 from .plans.fixpoint import shared_dir
-from .sources import read_edge_list, write_pairs
+from .sources import read_binary, read_edge_list, write_binary, write_pairs
 from .sources.sinks import write_levels
 from .tablegraphs import EDGE_SQL, graph
 
@@ -51,6 +51,13 @@ def text_edges(g: Graph) -> DataFrame:
     return read_edge_list(g.spark, path, header="none").edges
 
 
+def binary_edges(g: Graph) -> DataFrame:
+    """The edges, written as a binary file and read back."""
+    path, last = f"{_file(g.spark)}.gr", g.vertices.agg(F.max("id")).first()[0]
+    write_binary(Graph.of(g.edges, num_nodes=0 if last is None else last + 1), path)
+    return read_binary(g.spark, path).edges
+
+
 def written_levels(g: Graph, source: int) -> DataFrame:
     """The lines of a file of distances, read back."""
     path = _file(g.spark)
@@ -67,6 +74,7 @@ QUERIES: dict[str, Query] = {
     "vertex_set": _on("seq", lambda g: g.vertices),
     "graph_summary": _on("supply", lambda g: g.summary()),
     "text_edges": _on("seq", text_edges),
+    "binary_edges": _on("seq", binary_edges),
     "head_tail": _on("supply", lambda g: layout.head_tail(g.out_degree(), "out_degree")),
     "written_levels": _search("seq", written_levels),
     "bfs_first_levels": _search("op", lambda g, s: level_lines(levels(g, s, directed=False), 100)),
@@ -175,6 +183,7 @@ ORACLE_SQL: dict[str, str] = {
   (SELECT count(*) FROM (SELECT src FROM e UNION SELECT dst FROM e) v)::BIGINT AS num_nodes, (SELECT count(*) FROM e)::BIGINT AS num_edges,
   (SELECT max(n) FROM (SELECT count(*) AS n FROM e GROUP BY src) d)::BIGINT AS max_outdegree""",
     "text_edges": EDGE_SQL["seq"],
+    "binary_edges": EDGE_SQL["seq"],
     "head_tail": f"""WITH d AS ({_degree_sql("supply", "src", "out_degree")}), r AS (SELECT *, row_number() OVER (ORDER BY id) AS a, row_number() OVER (ORDER BY id DESC) AS b FROM d)
 SELECT id, out_degree FROM r WHERE a <= 6 OR b <= 4""",
     "written_levels": _bfs_sql("seq", True, "SELECT v::VARCHAR || ' ' || (lvl - 1)::VARCHAR AS line FROM b"),

@@ -10,6 +10,7 @@ destinations, so no task holds more than its share. Files are opened through Arr
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,12 @@ from ..graph import Graph
 HEADER = 32
 
 
+def _store(path: str):
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:/") else (fs.LocalFileSystem(), path)
+
+
 def _open(path: str):
-    store, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    store, inner = _store(path)
     return store.open_input_file(inner)
 
 
@@ -68,12 +73,51 @@ def read_binary(spark: SparkSession, path: str, nodes_per_task: int = 1 << 20, e
     return Graph.of(starts.mapInArrow(read, "src long, dst long"), num_nodes=nodes, header=(nodes, edges))
 
 
-def write_binary(graph: Graph, path: str, version: int = 1) -> None:
-    """Write a small graph with vertices 0 .. n-1 as one local file, destinations in rising order. It passes through the driver: for tests and exchange only."""
-    nodes = graph.num_nodes()
-    rows = graph.edges.orderBy("src", "dst").toPandas()
-    ends = np.cumsum(np.bincount(rows["src"].to_numpy(np.int64), minlength=nodes)) if len(rows) else np.zeros(nodes, np.int64)
-    with open(path, "wb") as f:
-        f.write(struct.pack("<4Q", version, 0, nodes, len(rows)))
-        f.write(ends.astype("<u8").tobytes())
-        f.write(rows["dst"].to_numpy().astype("<u4" if version == 1 else "<u8").tobytes())
+def write_binary(graph: Graph, path: str, version: int = 1, chunk: int = 8 << 20) -> None:
+    """Write a graph with vertices 0 .. n-1 as one file, destinations in rising order.
+
+    Tasks write sorted pieces of the offsets and of the destinations beside the file; the driver puts them together by
+    copying ``chunk`` bytes at a time, and holds one row a piece. The path must be one that driver and executors share.
+    """
+    if version not in (1, 2):
+        raise ValueError(f"version {version}, not 1 or 2")
+    low, high, nodes = graph.vertices.agg(F.min("id"), F.max("id"), F.count(F.lit(1))).first()
+    if nodes and (low, high) != (0, nodes - 1):
+        raise ValueError(f"vertices are {low} to {high}, {nodes} in number, not 0 to n - 1")
+    if version == 1 and nodes > 1 << 32:
+        raise ValueError("version 1 holds destinations below 2**32")
+    store, inner = _store(path)
+    folder = f"{inner}.pieces-{uuid.uuid4().hex}"
+    store.create_dir(folder)
+    try:
+        offsets = graph.csr_offsets().select("id", (F.col("offset") + F.col("out_degree")).alias("end"))
+        ends = _pieces(offsets.orderBy("id"), "end", np.dtype("<u8"), path, folder)
+        dsts = _pieces(graph.edges.orderBy("src", "dst"), "dst", np.dtype("<u4" if version == 1 else "<u8"), path, folder)
+        with store.open_output_stream(inner) as out:
+            out.write(struct.pack("<4Q", version, 0, nodes, sum(n for _, n in dsts)))
+            for name, _ in ends + dsts:
+                with store.open_input_stream(f"{folder}/{name}") as piece:
+                    while data := piece.read(chunk):
+                        out.write(data)
+    finally:
+        store.delete_dir(folder)
+
+
+def _pieces(rows: DataFrame, value: str, kind: np.dtype, path: str, folder: str) -> list[tuple[str, int]]:
+    """Write a sorted table's values, a file each partition; their names and numbers of values, in order. A task that runs again writes a file of its own."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, count, name, out = TaskContext.get().partitionId(), 0, uuid.uuid4().hex, None
+        for batch in batches:
+            if batch.num_rows:
+                out = out or _store(path)[0].open_output_stream(f"{folder}/{name}")
+                out.write(batch.column(0).to_numpy().astype(kind).tobytes())
+                count += batch.num_rows
+        if out:
+            out.close()
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([name]), pa.array([count], pa.int64())], ["part", "name", "n"])
+
+    got = rows.select(value).mapInArrow(over, "part long, name string, n long").collect()
+    return [(r.name, r.n) for r in sorted(got)]

@@ -1,6 +1,7 @@
 import importlib
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -207,6 +208,26 @@ def test_binary(spark, tmp_path, version):
             load(spark, str(tmp_path / "bad.gr"))
 
 
+def test_binary_of_many_pieces(spark, tmp_path):
+    g = uniform_graph(spark, 3000, 8, seed=2)
+    g = type(g).of(g.edges, num_nodes=3100)  # the last vertices have no edges
+    for version in (1, 2):
+        path = f"file://{tmp_path}/v{version}.gr"
+        write_binary(g, path, version, chunk=1000)
+        back = read_binary(spark, path, nodes_per_task=700)
+        assert pairs(back.edges) == pairs(g.edges) and back.num_nodes() == 3100
+        raw = np.fromfile(f"{tmp_path}/v{version}.gr", np.uint8)
+        ends = raw[32 : 32 + 8 * 3100].view("<u8").astype(int)
+        dst = raw[32 + 8 * 3100 :].view("<u4" if version == 1 else "<u8").astype(int)
+        assert [(i, d) for i, (a, b) in enumerate(zip([0, *ends], ends)) for d in dst[a:b]] == pairs(g.edges)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["v1.gr", "v2.gr"]
+    with pytest.raises(ValueError):
+        write_binary(type(g).of(g.edges.selectExpr("src + 1 AS src", "dst + 1 AS dst")), str(tmp_path / "x.gr"))
+    none = type(g).of(g.edges.limit(0), num_nodes=4)
+    write_binary(none, str(tmp_path / "none.gr"))
+    assert load(spark, str(tmp_path / "none.gr")).num_nodes() == 4
+
+
 def test_generators(spark):
     assert complete_graph(spark, 6).num_edges() == 15
     for g in (uniform_graph(spark, 40, 3, seed=1), focus_graph(spark, 40, 4, seed=1)):
