@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded, hash_unit, table
+from .common import bounded, hash_unit, kept, release, table
 
 GRADES = 3
 MARKS = b"""!"#$%&'()*+,-./:;<=>?@[]^_`{|}~"""
@@ -51,7 +51,7 @@ class Settings:
     seed: int = 7
 
 
-_WORD_HASH: dict[bytes, int] = {}
+_WORD_HASH: dict[bytes, int] = kept("quality")
 
 
 def _word_hash(word: bytes) -> int:
@@ -170,7 +170,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings, key: s
     bits = settings.bits
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, 0):
+        for batch in bounded(batches, 0, keep="quality"):
             yield pa.RecordBatch.from_arrays([pa.array([buckets(t, bits).astype("<i4").tobytes() for t in batch.column(0).to_pylist()], pa.binary()), batch.column(1)], ["at", "grade"])
 
     return docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(sample), "_id").select("_text", "_grade").mapInArrow(over, "at binary, grade int")
@@ -182,6 +182,8 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), k
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((g, at) for batch in batches for at, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
         model = fit([np.frombuffer(at, "<i4").astype(np.int64) for _, at in rows], np.array([g for g, _ in rows], np.int64), settings)
+        del rows
+        release()
         yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.cuts.tobytes()], pa.binary())], ["weights", "cuts"])
 
     got = training_rows(docs, labels, settings, key, text).repartition(1).mapInArrow(over, "weights binary, cuts binary").collect()
@@ -198,7 +200,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", expected: str = "ex
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, weights, cuts = shared.value
         own = Model(bits, weights, cuts)
-        for batch in bounded(batches, at):
+        for batch in bounded(batches, at, keep="quality"):
             below = own.at_most(own.score(batch.column(at).to_pylist()))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns)), pa.array(np.round((1 - below).sum(axis=1), 9)), pa.array(np.round(1 - below[:, at_least - 1], 9))], [*names, expected, tail])
 

@@ -10,10 +10,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from frontwave.llm import html_extract, packing, quality, secret_scan, warc
+from frontwave.llm.common import bounded
 from frontwave.llm.common import scratch
 
 DOC = "doc_id long, text string"
@@ -274,6 +276,15 @@ def test_tree_merge(spark):
     assert len(got) == 400 and max(full.values()) <= 100 and len(full) <= 1.12 * sum(full.values()) / 100
 
 
+def test_workers_forget_other_operators_tables(library):
+    def batches():
+        yield pa.RecordBatch.from_pydict({"text": ["some text"]})
+
+    packing.encoder(packing.VOCABULARY)
+    assert len(list(bounded(batches(), 0, keep="packing"))) == 1 and packing._ENCODERS
+    assert len(list(bounded(batches(), 0))) == 1 and not packing._ENCODERS
+
+
 # ---- quality
 
 
