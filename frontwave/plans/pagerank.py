@@ -106,6 +106,7 @@ def residual_pagerank(graph: Graph, alpha: float = ALPHA, epsilon: float = EPSIL
     """
     _checked(alpha, epsilon)
     stats = stats or RunStats()
+    graph = graph.cache()  # read for the vertices, twice for the shares and for the first push
     shares = _shares(graph)
     hundredths = round(alpha * 100)
     threshold = F.lit(epsilon * SCALE if integers else epsilon)
@@ -138,6 +139,8 @@ def residual_pagerank(graph: Graph, alpha: float = ALPHA, epsilon: float = EPSIL
     state, done, _ = fixpoint(state, step, {"active": F.count(F.when(F.col("active"), 1))}, stop, most if rounds is None else rounds)
     stats.add_stat("iterations", done)
     shares.unpersist()
+    graph.vertices.unpersist()
+    graph.edges.unpersist()
     ranks = state.select("id", (F.col("weight") / SCALE if integers else F.col("weight")).alias("rank"))
     return normalize(ranks) if normalized else ranks
 

@@ -118,6 +118,19 @@ def test_pagerank(spark):
     assert moves == sorted(moves, reverse=True)
 
 
+def test_residual_reads_edges_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def over(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    g = Graph.of(edges(spark, SIMPLE).mapInArrow(over, "src long, dst long"))
+    assert residual_pagerank(g, rounds=1).count() == 5
+    assert read.value == len(SIMPLE)
+
+
 def test_pagerank_of_sweeps(spark):
     g = Graph.of(edges(spark, SMALL))
     for directed, want in ((True, SMALL_DIRECTED), (False, SMALL_UNDIRECTED)):
