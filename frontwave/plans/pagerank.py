@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import RunStats
 from ..graph import Graph
 from ..operators.structure import transition
+from . import blocks
 from .fixpoint import cut, drop, fixpoint
 from .hubs import Dealt, deal
 
@@ -103,9 +104,13 @@ def residual_pagerank(graph: Graph, alpha: float = ALPHA, epsilon: float = EPSIL
 
     A vertex is active when its residual is at least ``epsilon``. With ``integers``, residuals are whole numbers of ``1 / SCALE``, and
     each edge's push is rounded down: ``floor(residual * 100 alpha / (100 outdegree))``. ``rounds`` bounds the rounds without being an error.
+    Without these two only the end counts, and rounds are those of ``blocks``, which push on within a block before anything moves.
     """
     _checked(alpha, epsilon)
     stats = stats or RunStats()
+    if rounds is None and not integers and most > 0:
+        ranks = blocks.drained(graph, alpha, epsilon, most, stats).withColumnRenamed("weight", "rank")
+        return normalize(ranks) if normalized else ranks
     graph = graph.cache()  # read for the vertices, twice for the shares and for the first push
     shares = _shares(graph)
     hundredths = round(alpha * 100)

@@ -131,6 +131,45 @@ def test_residual_reads_edges_once(spark):
     assert read.value == len(SIMPLE)
 
 
+def test_residual_of_a_block_is_one_round(spark):
+    stats = RunStats()
+    assert column(residual_pagerank(simple(spark), epsilon=1e-7, stats=stats)) == pytest.approx(dict(enumerate(SIMPLE_RANKS)), abs=1e-6)
+    assert stats.scalars["iterations"] == 1 and stats.series["wl_size"] == [0]
+
+
+def plain_ranks(pairs_, ids):
+    """Ranks by dense sweeps, not normalized; an edge to no vertex counts for its source's degree."""
+    of = {v: i for i, v in enumerate(ids)}
+    degree = np.bincount([of[a] for a, _ in pairs_ if a in of], minlength=len(ids))
+    kept = [(of[a], of[b]) for a, b in pairs_ if a in of and b in of]
+    src, dst = np.array(kept).T
+    r = np.full(len(ids), 0.15)
+    for _ in range(200):
+        r = 0.15 + 0.85 * np.bincount(dst, r[src] / degree[src], len(ids))
+    return dict(zip(ids, r))
+
+
+@pytest.mark.parametrize("block", [30, 2000])
+def test_residual_in_blocks(spark, monkeypatch, block):
+    # two hubs, parallel edges, self-loops, sinks, negative ids, ends and sources that are no vertices
+    pairs_ = [(0, i) for i in range(1, 120)] + [(-7, i * 3) for i in range(60)] + [(i, i * 7 % 90 - 10) for i in range(-10, 120)] + [(5, 5), (5, 5), (5, 6), (119, 500), (119, -7), (700, 3), (20, 0)]
+    monkeypatch.setattr(pagerank_module.blocks, "BLOCK", block)
+    stats = RunStats()
+    ids = list(range(-10, 121))
+    vertices = spark.createDataFrame([(i,) for i in ids], "id long")
+    got = column(residual_pagerank(Graph.of(edges(spark, pairs_), vertices), epsilon=1e-5, normalized=False, stats=stats))
+    assert got == pytest.approx(plain_ranks(pairs_, ids), abs=1e-3)
+    assert (stats.scalars["iterations"] == 1) == (block == 2000)
+
+
+def test_residual_of_odd_graphs(spark):
+    assert column(residual_pagerank(Graph.of(edges(spark, [])), normalized=False)) == {}
+    assert column(residual_pagerank(Graph.of(edges(spark, []), num_nodes=3), normalized=False)) == pytest.approx(dict.fromkeys(range(3), 0.15))
+    # a null end is a vertex that no edge meets, and counts for the shares of its source
+    got = column(residual_pagerank(Graph.of(edges(spark, [(1, 2), (1, None), (None, 2), (2, 2)])), epsilon=1e-9, normalized=False))
+    assert got == pytest.approx({1: 0.15, 2: (0.15 + 0.85 * 0.15 / 2) / 0.15, None: 0.15}, abs=1e-6)
+
+
 def test_pagerank_of_sweeps(spark):
     g = Graph.of(edges(spark, SMALL))
     for directed, want in ((True, SMALL_DIRECTED), (False, SMALL_UNDIRECTED)):
